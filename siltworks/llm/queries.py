@@ -32,7 +32,7 @@ def op5_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+    return warc.warc_round_trip(table(spark, sf_dir, "pages")).drop("path")
 
 
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
