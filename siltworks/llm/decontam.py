@@ -3,6 +3,7 @@ and the longest match at each word tells which words are in occurrences of an it
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,6 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, column: str, window: int =
 
         @F.pandas_udf(kind)
         def search(text, before):  # noqa: ANN001
-            import pandas as pd
 
             automaton, names = shared.value
             rows = []
@@ -220,7 +220,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: int = 20, cut
 
         @F.pandas_udf("string")
         def without(text, spans):  # noqa: ANN001
-            import pandas as pd
 
             return pd.Series([t if t is None else cut_runs(t, s, cut) for t, s in zip(text, spans)])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, decontam, sharding, token_files, warc
+from . import compression, dart_minhash, decontam, langid, mixing, sharding, token_files, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -27,6 +27,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -35,11 +39,25 @@ def op6_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages")).drop("path")
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_mixture(table(spark, sf_dir, "documents"))
+
+
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.temperature_mix(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_token_files, op5_vector_sharding, op6_warc_records, op10_suffix_automaton)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_compression_bands, op2_token_files, op4_dart_minhash, op5_vector_sharding, op6_warc_records,
+        op7_language_mixture, op8_temperature_mixing, op10_suffix_automaton,
+    )
+}
 
 ORACLE: dict[str, str] = {
     "op10_suffix_automaton": r"""
