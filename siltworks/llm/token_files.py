@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import Published, open_fs, shared_path
 
-#: Pieces between blanks that a worker remembers the ids of.
-REMEMBERED = 200_000
+#: Parts of texts that a worker remembers the ids of.
+REMEMBERED = 500_000
 #: Tokens in a row group, at most one document more.
 GROUP_TOKENS = 1 << 20
 FILE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("tokens", pa.list_(pa.int32()))])
@@ -26,30 +26,83 @@ DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library. The tokenizer cuts at white space first and treats each piece
-    between by itself, so pieces are encoded once and remembered; REMEMBERED bounds the memory."""
+    """Ids of texts by the tokenizers library. The tokenizer lower-cases, cuts at white space and between
+    letters and other signs before anything else, so a piece between blanks has the ids of its lower case,
+    and of the part before a last ASCII full stop or comma after a letter, followed by the sign's. Each such part is
+    encoded once and remembered; REMEMBERED bounds the memory. Texts that may hold a special token's name,
+    which isn't lower-cased, are encoded as they are."""
 
     def __init__(self, model: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_str(model), {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
+        self.signs = {c: self.encode([bytes([c])])[0] for c in b".,"}
+
+    def encode(self, parts: list[bytes]) -> list[bytes]:
+        out = []
+        for i in range(0, len(parts), 2000):
+            found = self.tokenizer.encode_batch([p.decode() for p in parts[i : i + 2000]], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return out
+
+    def remember(self, parts: list[bytes]) -> None:
+        """Words of letters alone are encoded many at a time, with blanks between: each ends with a token that
+        ends a word. Where their number isn't that of the words, and for all else, each part is encoded."""
+        texts = [p.decode() for p in parts]
+        words = [x for x in texts if x.isalpha() and len(x) < 100]
+        single = [p for p, x in zip(parts, texts) if not (x.isalpha() and len(x) < 100)]
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                data, at = ids.tobytes(), 0
+                for x, end in zip(some, ends):
+                    self.known[x.encode()] = data[4 * at : 4 * end]
+                    at = end
+            else:
+                single += [x.encode() for x in some]
+        self.known.update(zip(single, self.encode(single)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        pieces = [x.encode().split() for x in texts]
-        missing = list({p for x in pieces for p in x if p not in self.known})
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list({p for x in pieces for p in x})
-        known = self.known
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, x)) for x in pieces]
-
-
-def batched(column, most_chars: int = 2_000_000):
+        pieces = [[] if "<|" in x else x.encode().lower().split() for x in texts]
+        known, signs = self.known, self.signs
+        distinct = set().union(*pieces)
+        new = distinct.difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = distinct
+        ended = [p for p in new if p.endswith((b".", b",")) and len(p) > 1 and 97 <= p[-2] <= 122]
+        new.difference_update(ended)
+        new.update(p[:-1] for p in ended)
+        self.remember(list(new.difference(known)))
+        for p in ended:
+            known[p] = known[p[:-1]] + signs[p[-1]]
+        out = [b"".join(map(known.__getitem__, x)) for x in pieces]
+        for i, x in enumerate(texts):
+            if "<|" in x:
+                out[i] = self.encode([x.encode()])[0]
+        return out
+
+
+#: A worker's encoders by the tokenizer's text; they outlive a task.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(model: str) -> Encoder:
+    if model not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[model] = Encoder(model)
+    return ENCODERS[model]
+
+
+def batched(column, most_chars: int = 3_000_000):
     """Slices of a column of strings with about so many bytes at most, or one text."""
     part, size = [], 0
     for x in column:
@@ -80,7 +133,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(model.value)
+        encode = encoder(model.value).ids
         part = TaskContext.get().partitionId()
         path, file, parquet, n_docs, n_tokens = f"{out}/tokens-{part:06d}.parquet", None, None, 0, 0
         ids, lengths, held, size = [], [], [], 0
@@ -95,7 +148,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int) ->
             for batch in batches:
                 names, at = batch.column(0).to_pylist(), 0
                 for texts in batched(batch.column(1)):
-                    for data in encoder.ids(texts):
+                    for data in encode(texts):
                         if parquet is None:
                             file = Published(path)
                             parquet = writer(file.sink)
