@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, dart_minhash, decontam, langid, mixing, sharding, token_files, warc
+from . import compression, dart_minhash, decontam, langid, mixing, sharding, token_files, url_templates, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -27,6 +27,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_compression_bands, op2_token_files, op4_dart_minhash, op5_vector_sharding, op6_warc_records,
+        op1_compression_bands, op2_token_files, op3_url_templates, op4_dart_minhash, op5_vector_sharding, op6_warc_records,
         op7_language_mixture, op8_temperature_mixing, op10_suffix_automaton,
     )
 }
