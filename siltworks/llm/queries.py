@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, dart_minhash, decontam, langid, mixing, sharding, token_files, url_templates, warc
+from . import compression, dart_minhash, decontam, langid, line_dedup, mixing, sharding, token_files, url_templates, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -51,6 +51,10 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.temperature_mix(table(spark, sf_dir, "documents"))
 
 
+def op9_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,11 +63,30 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_compression_bands, op2_token_files, op3_url_templates, op4_dart_minhash, op5_vector_sharding, op6_warc_records,
-        op7_language_mixture, op8_temperature_mixing, op10_suffix_automaton,
+        op7_language_mixture, op8_temperature_mixing, op9_line_similarity, op10_suffix_automaton,
     )
 }
 
 ORACLE: dict[str, str] = {
+    "op9_line_similarity": r"""
+        WITH line AS (SELECT doc_id, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
+                      FROM (SELECT doc_id, string_split(replace(text, chr(9), ' '), chr(10)) AS l FROM documents WHERE text IS NOT NULL))
+                      WHERE trim(l[i]) <> ''),
+        first AS (SELECT line, min({'d': doc_id, 'l': line_no}) AS p FROM line GROUP BY line),
+        word AS (SELECT line, unnest(list_distinct(list_filter(string_split(line, ' '), lambda w: w <> ''))) AS w FROM first),
+        df AS (SELECT w, count(*) AS f FROM word GROUP BY w),
+        ordered AS (SELECT line, w, row_number() OVER (PARTITION BY line ORDER BY f, w) AS r, count(*) OVER (PARTITION BY line) AS n FROM word JOIN df USING (w)),
+        prefix AS (SELECT * FROM ordered WHERE r <= n - (4 * n + 4) // 5 + 1),
+        pair AS (SELECT DISTINCT x.line AS x, y.line AS y FROM prefix x JOIN prefix y ON x.w = y.w AND x.line <> y.line AND least(x.n, y.n) * 5 >= greatest(x.n, y.n) * 4),
+        sets AS (SELECT line, list(w) AS s FROM word GROUP BY line),
+        alike AS (SELECT x, y FROM pair JOIN sets a ON a.line = x JOIN sets b ON b.line = y
+                  WHERE len(list_intersect(a.s, b.s)) * 5 >= (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) * 4),
+        near AS (SELECT DISTINCT x AS line FROM alike JOIN first a ON a.line = x JOIN first b ON b.line = y WHERE b.p < a.p),
+        judged AS (SELECT doc_id, line_no, p <> {'d': doc_id, 'l': line_no} AS again, near.line IS NOT NULL AS near FROM line JOIN first USING (line) LEFT JOIN near USING (line)),
+        by_doc AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE again OR near) AS n_removed, count(*) FILTER (WHERE near AND NOT again) AS n_links,
+                   list(line_no ORDER BY line_no) FILTER (WHERE again OR near) AS removed_lines FROM judged GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_links, 0) AS n_links,
+               CAST(coalesce(removed_lines, []) AS INTEGER[]) AS removed_lines FROM documents LEFT JOIN by_doc USING (doc_id)""",
     "op10_suffix_automaton": r"""
         WITH item AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
                       FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
