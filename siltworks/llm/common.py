@@ -2,45 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests,
-    local mode) a folder of this machine is set."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = context.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='siltworks-')}"
-        context.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder; it goes when the driver's JVM ends."""
-    path = f"{shared_root(spark)}/siltworks/{what}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(place)
-    fs.deleteOnExit(place)
-    return path
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: df written as Parquet to the shared folder and read again."""
-    path = shared_path(df.sparkSession, what) + "/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+from ..tables import materialise, shared_path, shared_root  # noqa: F401
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

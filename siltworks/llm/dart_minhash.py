@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import fresh, materialise
-from .components import components
 
 #: Words of a shingle.
 SHINGLE = 5

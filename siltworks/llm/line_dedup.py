@@ -61,33 +61,46 @@ def rarity(docs: DataFrame) -> bytes:
     return out.tobytes()
 
 
+#: Of a line: its hash, its distinct words, and a sketch of 128 bits of which each word flips one.
+FEATURES = ("line_hash", "n", "sketch", "sketch2")
+
+
 def postings(docs: DataFrame, ranks: bytes, least: Jaccard) -> DataFrame:
-    """word, place, line_hash, n, sketch, first_doc: a row for each word of the prefix of each distinct line.
-    word: a hash; n: the line's distinct words; sketch: 64 bits, of which each word flips one; first_doc: the smallest doc_id."""
+    """word, place, FEATURES, first_doc: a row for each word of the prefix of each distinct line. word: a hash;
+    first_doc: the smallest doc_id that has the line."""
     table = F.lit(bytearray(ranks))
     hashed = F.transform(words(F.col("line")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-64)).bitwiseOR((F.lit(63) - F.least(F.octet_length(w), F.lit(63))).cast("long")))
 
     def ranked(g):
         rank = F.ascii(F.substring(table, (bucket_of(g) + 1).cast("int"), F.lit(1))).cast("long")
-        return F.shiftleft(rank, 58).bitwiseOR(F.shiftleft(g.bitwiseAND(F.lit(63)), 52)).bitwiseOR(F.shiftrightunsigned(g, 12))
+        return F.shiftleft(rank, 57).bitwiseOR(F.shiftleft(g.bitwiseAND(F.lit(63)), 51)).bitwiseOR(F.shiftrightunsigned(g, 13))
 
     x = lines_of(docs).select("doc_id", "line_hash", F.sort_array(F.array_distinct(F.transform(hashed, ranked))).alias("w"))
     n = F.size("w").cast("long")
+
+    def half(which):
+        def flip(a, v):
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(v.bitwiseAND(F.lit(64)) == which, a.bitwiseXOR(bit)).otherwise(a)
+
+        return F.aggregate("w", F.lit(0).cast("long"), flip)
+
     x = x.select(
-        "doc_id", "line_hash", n.cast("int").alias("n"), F.aggregate("w", F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int")))).alias("sketch"),
+        "doc_id", "line_hash", n.cast("int").alias("n"), half(0).alias("sketch"), half(64).alias("sketch2"),
         F.transform(F.slice("w", F.lit(1), (n - least.overlap(n) + 1).cast("int")), lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
     )
-    sets = x.groupBy("line_hash", "n", "sketch", "prefix").agg(F.min("doc_id").alias("first_doc"))
-    return sets.select(F.posexplode("prefix").alias("place", "word"), "line_hash", "n", "sketch", "first_doc")
+    sets = x.groupBy("line_hash", "n", "sketch", "sketch2", "prefix").agg(F.min("doc_id").alias("first_doc"))
+    return sets.select(F.posexplode_outer("prefix").alias("place", "word"), *FEATURES, "first_doc")
 
 
-def may_match(n, place, sketch, n2, place2, sketch2, least: Jaccard):
-    """Length filter, positional filter (of the words from the common one on, as many must be left as are needed;
-    those before it in both prefixes may be common too), and sketch: words that aren't shared differ in bits."""
+def may_match(a: str, b: str, least: Jaccard):
+    """Length filter, positional filter (alike lines have a first common word, from which on each has as many words
+    as are needed), and sketch: words that aren't shared differ in bits."""
+    (n, place, s, t), (n2, place2, s2, t2) = ([F.col(f"{x}{c}") for c in ("n", "place", "sketch", "sketch2")] for x in (a, b))
     need = least.shared(n, n2)
     length = F.least(n, n2) >= least.overlap(F.greatest(n, n2))
-    left = F.least(place, place2) + F.least(n - place, n2 - place2)
-    unlike = F.bit_count(sketch.bitwiseXOR(sketch2))
+    left = F.least(n - place, n2 - place2)
+    unlike = F.bit_count(s.bitwiseXOR(s2)) + F.bit_count(t.bitwiseXOR(t2))
     return length & (left >= need) & (unlike <= n + n2 - 2 * need)
 
 
@@ -96,19 +109,19 @@ def candidates(rows: DataFrame, least: Jaccard) -> tuple[DataFrame, DataFrame]:
     lines that both may match its earliest one (and are of later documents) are left to that one. The second
     result has the rows with lists, earliest lines and marks, for those that turn out not to match it."""
     ordered = Window.partitionBy("word").orderBy("first_doc", "line_hash")
-    x = rows.withColumn("top", F.first(F.struct("line_hash", "n", "place", "sketch", "first_doc")).over(ordered))
+    x = rows.withColumn("top", F.first(F.struct(*FEATURES, "place", "first_doc")).over(ordered))
     x = x.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("many > 1")
-    ok = may_match(F.col("n"), F.col("place"), F.col("sketch"), F.col("top.n"), F.col("top.place"), F.col("top.sketch"), least)
+    ok = may_match("", "top.", least)
     x = x.withColumn("led", (F.col("many") > HOT) & ((F.col("line_hash") == F.col("top.line_hash")) | (ok & (F.col("first_doc") > F.col("top.first_doc")))))
-    x = x.select("word", "place", "line_hash", "n", "sketch", F.coalesce("led", F.lit(False)).alias("led"), F.col("top.line_hash").alias("leader"))
+    x = x.select("word", "place", *FEATURES, F.coalesce("led", F.lit(False)).alias("led"), F.col("top.line_hash").alias("leader"))
     led = x.where("led AND line_hash != leader").select(F.least("line_hash", "leader").alias("a"), F.greatest("line_hash", "leader").alias("b"))
     return led.unionByName(pairs_of(x, x, ~(F.col("x.led") & F.col("y.led")), least)).distinct(), x
 
 
 def pairs_of(x: DataFrame, y: DataFrame, where, least: Jaccard) -> DataFrame:
     x, y = x.alias("x"), y.alias("y")
-    pass_ = may_match(*(F.col(f"{t}.{c}") for t in "xy" for c in ("n", "place", "sketch")), least)
-    return x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.line_hash") < F.col("y.line_hash")) & where & pass_).select(F.col("x.line_hash").alias("a"), F.col("y.line_hash").alias("b"))
+    found = (F.col("x.word") == F.col("y.word")) & (F.col("x.line_hash") < F.col("y.line_hash")) & where & may_match("x.", "y.", least)
+    return x.join(y, found).select(F.col("x.line_hash").alias("a"), F.col("y.line_hash").alias("b"))
 
 
 def alike(pairs: DataFrame, docs: DataFrame, least: Jaccard) -> DataFrame:
