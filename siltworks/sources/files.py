@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import ScanOptions
 from ..functions import paths as P
@@ -123,7 +124,7 @@ def scan_roots(spark: SparkSession, dirs: list[str], options: ScanOptions = Scan
 
 def hash_files(files: DataFrame, algorithm: str = "sha256", first: int | None = None) -> DataFrame:
     """files with content_hash, of the first bytes or of all; files that can't be read are left out."""
-    schema = files.drop("content_hash").schema.add("content_hash", "string")
+    schema = T.StructType([*files.drop("content_hash").schema, T.StructField("content_hash", T.StringType())])
     plain = files.drop("content_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,7 @@ def hash_files(files: DataFrame, algorithm: str = "sha256", first: int | None =
 
 def read_texts(files: DataFrame) -> DataFrame:
     """files with text: the contents as UTF-8, odd bytes replaced; files that can't be read are left out."""
-    schema = files.schema.add("text", "string")
+    schema = T.StructType([*files.schema, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

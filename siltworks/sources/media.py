@@ -10,6 +10,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import audio, bits, color
 from ..functions import paths as P
@@ -67,7 +68,7 @@ def with_samples(files: DataFrame, decode: Callable = ffmpeg_samples, most: floa
         for x in parts:
             yield x.assign(samples=[decode(p, min(most, d)) if d and d > 0 else None for p, d in zip(x["path"], x["duration"])])
 
-    return files.mapInPandas(run, files.schema.add("samples", "array<smallint>"))
+    return files.mapInPandas(run, T.StructType([*files.schema, T.StructField("samples", T.ArrayType(T.ShortType()))]))
 
 
 def with_frames(files: DataFrame, decode: Callable = ffmpeg_frame) -> DataFrame:
@@ -78,8 +79,8 @@ def with_frames(files: DataFrame, decode: Callable = ffmpeg_frame) -> DataFrame:
         for x in parts:
             yield x.assign(grids=[[g for t in (ts if ts is not None else []) if (g := decode(p, t)) is not None] for p, ts in zip(x["path"], x["times"])])
 
-    x = times.mapInPandas(run, times.schema.add("grids", "array<array<double>>"))
-    return x.withColumn("requested", F.size("times")).withColumn("frames", F.transform("grids", bits.difference_hash)).drop("times", "grids")
+    x = times.mapInPandas(run, T.StructType([*times.schema, T.StructField("grids", T.ArrayType(T.ArrayType(T.DoubleType())))]))
+    return x.withColumn("requested", F.size("times")).withColumn("frames", F.transform("grids", lambda g: bits.difference_hash(g))).drop("times", "grids")
 
 
 def fingerprinted(files: DataFrame) -> DataFrame:
