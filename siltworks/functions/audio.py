@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bits import let
+
 WINDOW, BINS, GROUP = 1024, 64, 4
 #: Bytes of samples without which there is no fingerprint.
 LEAST_BYTES = 1024
@@ -22,8 +24,12 @@ def window_bits(window: Column, bins: int = BINS) -> Column:
         F.sequence(F.lit(0), F.lit(bins - 1)),
         lambda b: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(width // 2 - 1)), lambda i: F.abs(F.get(window, b * width + 2 * i)).cast("double")), F.lit(0.0), lambda a, x: a + x) / width,
     )
-    average = F.aggregate(energies, F.lit(0.0), lambda a, x: a + x) / bins
-    return F.array_join(F.transform(energies, lambda e: F.when(e >= average, "1").otherwise("0")), "")
+
+    def flags(e: Column) -> Column:
+        average = F.aggregate(e, F.lit(0.0), lambda a, x: a + x) / bins
+        return let(average, lambda m: F.array_join(F.transform(e, lambda x: F.when(x >= m, "1").otherwise("0")), ""))
+
+    return let(energies, flags)
 
 
 def sample_bits(samples) -> str:

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def bits(flags: Column) -> Column:
     return F.array_join(F.transform(flags, lambda x: F.when(x, "1").otherwise("0")), "")
 
@@ -16,8 +21,7 @@ def mean(values: Column) -> Column:
 
 def average_hash(pixels: Column) -> Column:
     """A bit for each grey value: whether it is the mean or more."""
-    average = mean(pixels)
-    return bits(F.transform(pixels, lambda p: p.cast("double") >= average))
+    return let(mean(pixels), lambda average: bits(F.transform(pixels, lambda p: p.cast("double") >= average)))
 
 
 def difference_hash(pixels: Column, width: int = 9, height: int = 8) -> Column:

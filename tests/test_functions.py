@@ -68,3 +68,14 @@ def test_audio(spark):
     samples = [(i * 37) % 101 - 50 for i in range(1024)]
     want = audio.sample_bits(samples)
     assert float(int(one(spark, audio.window_bits(F.array(*map(F.lit, samples))))[0], 2)) == float(int(want, 2))
+
+
+def test_edit_distance(spark):
+    import random
+
+    rng = random.Random(11)
+    pairs = [("".join(rng.choice("abé中😀") for _ in range(rng.randint(0, 90))), "".join(rng.choice("abé中😀") for _ in range(rng.randint(0, 90)))) for _ in range(200)]
+    pairs += [(a, a[:7] + "x" + a[9:]) for a, _ in pairs]
+    d = spark.createDataFrame(pairs, "a string, b string")
+    assert [r.w for r in d.select(F.levenshtein("a", "b").alias("w")).collect()] == [text.distance(a, b) for a, b in pairs]
+    assert d.select(text.edit_distance("a", "b").alias("w")).agg(F.sum("w")).first()[0] == sum(text.distance(a, b) for a, b in pairs)
