@@ -84,9 +84,8 @@ def exponent(sources: DataFrame, target: Target) -> tuple[float, float, float]:
     return a, z, budget(a, z)
 
 
-def temperature_mix(docs: DataFrame, target: Target = Target(), seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, n_tokens, epoch, block, mix_key of each document taken, once for each time it is taken,
-    and the columns in keep. docs: doc_id, text, source; tokens are pieces between blanks, null texts count
+def temperature_mix(docs: DataFrame, target: Target = Target(), seed: int = 17) -> DataFrame:
+    """doc_id, source, n_tokens, epoch, block, mix_key of each document taken, once for each time it is taken. docs: doc_id, text, source; tokens are pieces between blanks, null texts count
     one, a null source is a source of its own, and repeated rows are documents of their own.
 
     A source's documents are dealt to blocks by hash; in each epoch its blocks come in an order of their own,
@@ -96,37 +95,37 @@ def temperature_mix(docs: DataFrame, target: Target = Target(), seed: int = 17,
 
     Only counts and sums are gathered: per source on the driver, per block in a window, which has one row for
     BLOCK_DOCS documents. Hot sources are many blocks."""
-    h, n, b, first, e, until, before, inside, offset, tokens_block = fresh(docs, "mix_hash", "mix_tokens", "mix_block", "mix_first", "mix_epoch", "mix_until", "mix_before", "mix_inside", "mix_offset", "mix_sum")
+    out, (n, e, b, at, until) = taken(docs, target, seed, ())
+    return out.select("doc_id", "source", F.col(n).alias("n_tokens"), F.col(e).alias("epoch"), F.col(b).alias("block"), (F.col(at) / F.col(until)).alias("mix_key"))
+
+
+def taken(docs: DataFrame, target: Target, seed: int, keep: tuple[str, ...]) -> tuple[DataFrame, tuple[str, ...]]:
+    """The documents taken with doc_id, source, the columns in keep, and others, whose names are the second result."""
+    h, n, b, sk, e, until, at, inside, offset, all_ = fresh(docs, *(f"mix_{x}" for x in ("hash", "tokens", "block", "source", "epoch", "until", "at", "inside", "offset", "all")))
     text = F.coalesce(F.col("text"), F.lit(""))
     words = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
-    rows = docs.select("doc_id", "source", *keep, words.alias(n), F.xxhash64("doc_id", F.crc32(text.cast("binary")), F.lit(seed)).alias(h))
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # no null, so joins and windows are dealt by the same key
+    rows = docs.select("doc_id", "source", *keep, name.alias(sk), words.alias(n), F.xxhash64("doc_id", F.crc32(text.cast("binary")), F.lit(seed)).alias(h))
     if not keep:
         rows = materialise(rows, "mix-rows")
-    sources = materialise(rows.groupBy("source").agg(F.sum(n).alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-sources")
+    sources = materialise(rows.groupBy(sk).agg(F.sum(n).alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-sources")
     a, z, budget = exponent(sources, target)
     total = float(sources.agg(F.sum("tokens")).first()[0] or 1)
     plan = sources.select(
-        F.col("source").alias(first), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long").alias(b), F.col("tokens").alias(tokens_block),
+        sk, F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long").alias(b), F.col("tokens").alias(all_),
         F.round(F.pow(F.col("tokens") / total, a) / z * budget).cast("long").alias(until),
     )
-    dealt = (
-        rows.join(plan, F.col("source").eqNullSafe(F.col(first))).withColumn(b, F.pmod(F.col(h), F.col(b)))
-        .withColumn(e, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(until) / F.col(tokens_block)) - 1).cast("int"))))
-    )
-    epoch_order = F.xxhash64(F.col(b), F.col(e), F.lit(seed))
-    sizes = dealt.groupBy("source", e, b).agg(F.sum(n).alias(inside))
-    past = Window.partitionBy("source", e).orderBy(epoch_order, b).rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.withColumn(offset, F.coalesce(F.sum(inside).over(past), F.lit(0))).select(F.col("source").alias(first), F.col(e).alias(f"{e}_"), F.col(b).alias(f"{b}_"), offset)
-    dealt = dealt.drop(first)
-    own = Window.partitionBy("source", e, b).orderBy(F.xxhash64(F.col(h), F.col(e), F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = dealt.withColumn(inside, F.coalesce(F.sum(n).over(own), F.lit(0)))
-    out = numbered.join(places, F.col("source").eqNullSafe(F.col(first)) & (F.col(e) == F.col(f"{e}_")) & (F.col(b) == F.col(f"{b}_")))
-    at = F.col(e) * F.col(tokens_block) + F.col(offset) + F.col(inside)
-    return out.withColumn(before, at).where(F.col(before) < F.col(until)).select(
-        "doc_id", "source", F.col(n).alias("n_tokens"), F.col(e).alias("epoch"), F.col(b).alias("block"), (F.col(before) / F.col(until)).alias("mix_key"), *keep
-    )
+    epochs = F.sequence(F.lit(0), (F.ceil(F.col(until) / F.col(all_)) - 1).cast("int"))
+    dealt = rows.join(plan, sk).withColumn(b, F.pmod(F.col(h), F.col(b))).withColumn(e, F.explode(epochs))
+    sizes = dealt.groupBy(sk, e, b).agg(F.sum(n).alias(inside))
+    past = Window.partitionBy(sk, e).orderBy(F.xxhash64(F.col(b), F.col(e), F.lit(seed)), b).rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.select(sk, e, b, F.coalesce(F.sum(inside).over(past), F.lit(0)).alias(offset))
+    own = Window.partitionBy(sk, e, b).orderBy(F.xxhash64(F.col(h), F.col(e), F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn(inside, F.coalesce(F.sum(n).over(own), F.lit(0))).join(places, [sk, e, b])
+    out = out.withColumn(at, F.col(e) * F.col(all_) + F.col(offset) + F.col(inside)).where(F.col(at) < F.col(until))
+    return out, (n, e, b, at, until)
 
 
 def mixed(docs: DataFrame, target: Target = Target(), seed: int = 17) -> DataFrame:
     """The rows of docs as often as the mixture takes them, with their columns alone."""
-    return temperature_mix(docs, target, seed, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source"))).select(*docs.columns)
+    return taken(docs, target, seed, tuple(c for c in docs.columns if c not in ("doc_id", "source")))[0].select(*docs.columns)
