@@ -286,7 +286,7 @@ def near_text_pairs_ascii(spark, sf_dir):
     return near.text_pairs(ascii_files(spark, sf_dir), TEXT).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH RECURSIVE {REACH} SELECT group_root, 'text' AS type, path, 1.0 AS similarity, round(best, 6) AS max_edge_similarity, n_files, round(edge, 6) AS avg_edge_similarity
+@query(f"""WITH RECURSIVE {REACH} SELECT group_root, 'text' AS type, path, CAST(1.0 AS DOUBLE) AS similarity, round(best, 6) AS max_edge_similarity, n_files, round(edge, 6) AS avg_edge_similarity
     FROM labels JOIN best USING (path) JOIN edge USING (group_root) JOIN sized USING (group_root)""")
 def near_text_groups_ascii(spark, sf_dir):
     members = near.near_members(materialise(near.text_pairs(ascii_files(spark, sf_dir), TEXT), "near-pairs"), "text")
@@ -414,10 +414,11 @@ def audio_energy_bits(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT vec_id, (vec_id % 200) / 10.0 AS duration FROM embeddings), n AS (SELECT *, least(5, greatest(1, CAST(floor(duration / 2) AS INTEGER))) AS n FROM d)
-    SELECT vec_id, list_transform(range(1, n + 1), lambda i: round(CAST(duration AS DOUBLE) / (n + 1) * i, 6)) AS times FROM n""")
+    SELECT vec_id, CAST(i AS INTEGER) AS nth, round(CAST(duration AS DOUBLE) / (n + 1) * i, 6) AS seconds FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n)""")
 def frame_schedule(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", ((F.col("vec_id") % 200) / 10.0).alias("duration"))
-    return v.select("vec_id", F.transform(bits.frame_schedule(F.col("duration")), lambda t: F.round(t, 6)).alias("times"))
+    times = v.select("vec_id", F.posexplode(bits.frame_schedule(F.col("duration"))).alias("nth", "seconds"))
+    return times.select("vec_id", (F.col("nth") + 1).alias("nth"), F.round("seconds", 6).alias("seconds"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g')) AS n,
