@@ -4,19 +4,19 @@ alike the later goes. All is DataFrame operations."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialise
 
 #: Words are counted by so many hash buckets, whose counts order them by rarity; longer words go first in a class.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 #: A bitmap of so many bytes, seven bits each, tells which lines may be needed for verification.
-BITMAP = 1 << 19
-#: In a posting list of more lines, those that match its earliest line aren't held against each other.
+BITMAP = 1 << 18
+#: In a posting list of more lines, those that may match its earliest line aren't held against each other.
 HOT = 64
 
 
@@ -55,19 +55,19 @@ def rarity(docs: DataFrame) -> bytes:
     """For each bucket a byte, twice the logarithm of how often its words occur in all texts."""
     flat = F.replace(F.replace(F.col("text"), F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit(" "))
     w = docs.where(F.col("text").isNotNull()).select(F.explode(F.split(flat, " ")).alias("w")).where("w != ''")
-    counts = w.select(bucket_of(F.xxhash64("w")).cast("int").alias("b")).groupBy("b").count().toPandas()
-    out = np.zeros(BUCKETS, np.uint8)
-    out[counts["b"].to_numpy()] = np.minimum(63, 2 * np.log2(counts["count"].to_numpy() + 1.0)).astype(np.uint8)
-    return out.tobytes()
+    out = bytearray(BUCKETS)
+    for b, n in w.select(bucket_of(F.xxhash64("w")).cast("int").alias("b")).groupBy("b").count().toLocalIterator():
+        out[b] = min(63, int(2 * math.log2(n + 1)))
+    return bytes(out)
 
 
-#: Of a line: its hash, its distinct words, and a sketch of 128 bits of which each word flips one.
-FEATURES = ("line_hash", "n", "sketch", "sketch2")
+#: Of a line: its id, its distinct words, and a sketch of 128 bits of which each word flips one; lines of up to 64
+#: words have the exclusive or of its halves in the first and nothing in the second, so most rows are shorter.
+FEATURES = ("id", "n", "sketch", "sketch2")
 
 
-def postings(docs: DataFrame, ranks: bytes, least: Jaccard) -> DataFrame:
-    """word, place, FEATURES, first_doc: a row for each word of the prefix of each distinct line. word: a hash;
-    first_doc: the smallest doc_id that has the line."""
+def line_sets(docs: DataFrame, ranks: bytes, least: Jaccard) -> DataFrame:
+    """FEATURES, line_hash, first, prefix of each distinct line. first: its first place; prefix: hashes of its rarest words, in order."""
     table = F.lit(bytearray(ranks))
     hashed = F.transform(words(F.col("line")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-64)).bitwiseOR((F.lit(63) - F.least(F.octet_length(w), F.lit(63))).cast("long")))
 
@@ -75,22 +75,26 @@ def postings(docs: DataFrame, ranks: bytes, least: Jaccard) -> DataFrame:
         rank = F.ascii(F.substring(table, (bucket_of(g) + 1).cast("int"), F.lit(1))).cast("long")
         return F.shiftleft(rank, 57).bitwiseOR(F.shiftleft(g.bitwiseAND(F.lit(63)), 51)).bitwiseOR(F.shiftrightunsigned(g, 13))
 
-    x = lines_of(docs).select("doc_id", "line_hash", F.sort_array(F.array_distinct(F.transform(hashed, ranked))).alias("w"))
-    n = F.size("w").cast("long")
-
     def half(which):
         def flip(a, v):
             bit = F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
-            return F.when(v.bitwiseAND(F.lit(64)) == which, a.bitwiseXOR(bit)).otherwise(a)
+            return F.when((v.bitwiseAND(F.lit(64)) == which) | ((n <= 64) & (which == 0)), a.bitwiseXOR(bit)).otherwise(a)
 
-        return F.aggregate("w", F.lit(0).cast("long"), flip)
+        none = F.lit(0).cast("long")
+        return F.aggregate("w", none, flip) if not which else F.when(n <= 64, none).otherwise(F.aggregate("w", none, flip))
+
+    place = F.struct("doc_id", "text_hash", "line_no").alias("place")
+    x = lines_of(docs).select("line_hash", place, F.sort_array(F.array_distinct(F.transform(hashed, ranked))).alias("w"))
+    n = F.size("w").cast("long")
+    prefix = F.transform(F.slice("w", F.lit(1), (n - least.overlap(n) + 1).cast("int")), lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    x = x.select("line_hash", "place", n.cast("int").alias("n"), half(0).alias("sketch"), half(64).alias("sketch2"), prefix.alias("prefix"))
+    x = x.groupBy("line_hash", "n", "sketch", "sketch2", "prefix").agg(F.min("place").alias("first")).withColumn("id", F.monotonically_increasing_id())
+    return materialise(x, "line-sets")
 
-    x = x.select(
-        "doc_id", "line_hash", n.cast("int").alias("n"), half(0).alias("sketch"), half(64).alias("sketch2"),
-        F.transform(F.slice("w", F.lit(1), (n - least.overlap(n) + 1).cast("int")), lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
-    )
-    sets = x.groupBy("line_hash", "n", "sketch", "sketch2", "prefix").agg(F.min("doc_id").alias("first_doc"))
-    return sets.select(F.posexplode_outer("prefix").alias("place", "word"), *FEATURES, "first_doc")
+
+def postings(sets: DataFrame) -> DataFrame:
+    """word, place, FEATURES, first_doc: a row for each word of the prefix of each line."""
+    return sets.select(F.posexplode_outer("prefix").alias("place", "word"), *FEATURES, F.col("first.doc_id").alias("first_doc")).where("word IS NOT NULL")
 
 
 def may_match(a: str, b: str, least: Jaccard):
@@ -100,68 +104,73 @@ def may_match(a: str, b: str, least: Jaccard):
     need = least.shared(n, n2)
     length = F.least(n, n2) >= least.overlap(F.greatest(n, n2))
     left = F.least(n - place, n2 - place2)
-    unlike = F.bit_count(s.bitwiseXOR(s2)) + F.bit_count(t.bitwiseXOR(t2))
+    folded = s.bitwiseXOR(t).bitwiseXOR(s2).bitwiseXOR(t2)
+    unlike = F.when(F.least(n, n2) <= 64, F.bit_count(folded)).otherwise(F.bit_count(s.bitwiseXOR(s2)) + F.bit_count(t.bitwiseXOR(t2)))
     return length & (left >= need) & (unlike <= n + n2 - 2 * need)
 
 
-def candidates(rows: DataFrame, least: Jaccard) -> tuple[DataFrame, DataFrame]:
-    """Pairs a, b of lines with a common prefix word that the filters let pass. In a list of more than HOT lines, pairs of
-    lines that both may match its earliest one (and are of later documents) are left to that one. The second
-    result has the rows with lists, earliest lines and marks, for those that turn out not to match it."""
-    ordered = Window.partitionBy("word").orderBy("first_doc", "line_hash")
+def candidates(rows: DataFrame, least: Jaccard) -> DataFrame:
+    """Pairs a, b of lines (ids) with a common prefix word that the filters let pass. In a list of more than HOT lines, pairs of
+    lines that both may match its earliest one (and are of later documents) are left to that one; `led` tells
+    which pairs are with it."""
+    ordered = Window.partitionBy("word").orderBy("first_doc", "id")
     x = rows.withColumn("top", F.first(F.struct(*FEATURES, "place", "first_doc")).over(ordered))
     x = x.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("many > 1")
-    ok = may_match("", "top.", least)
-    x = x.withColumn("led", (F.col("many") > HOT) & ((F.col("line_hash") == F.col("top.line_hash")) | (ok & (F.col("first_doc") > F.col("top.first_doc")))))
-    x = x.select("word", "place", *FEATURES, F.coalesce("led", F.lit(False)).alias("led"), F.col("top.line_hash").alias("leader"))
-    led = x.where("led AND line_hash != leader").select(F.least("line_hash", "leader").alias("a"), F.greatest("line_hash", "leader").alias("b"))
-    return led.unionByName(pairs_of(x, x, ~(F.col("x.led") & F.col("y.led")), least)).distinct(), x
+    ok = may_match("", "top.", least) & (F.col("first_doc") > F.col("top.first_doc"))
+    led = (F.col("many") > HOT) & ((F.col("id") == F.col("top.id")) | ok)
+    x = x.select("word", "place", *FEATURES, F.coalesce(led, F.lit(False)).alias("led"), F.col("top.id").alias("leader"))
+    both = F.col("x.led") & F.col("y.led")
+    leads = (F.col("x.id") == F.col("x.leader")) | (F.col("y.id") == F.col("y.leader"))
+    found = pairs_of(x, x, (F.col("x.id") < F.col("y.id")) & (~both | leads), least, both.alias("led"))
+    return found.groupBy("a", "b").agg(F.max("led").alias("led"))
 
 
-def pairs_of(x: DataFrame, y: DataFrame, where, least: Jaccard) -> DataFrame:
+def pairs_of(x: DataFrame, y: DataFrame, where, least: Jaccard, *more) -> DataFrame:
     x, y = x.alias("x"), y.alias("y")
-    found = (F.col("x.word") == F.col("y.word")) & (F.col("x.line_hash") < F.col("y.line_hash")) & where & may_match("x.", "y.", least)
-    return x.join(y, found).select(F.col("x.line_hash").alias("a"), F.col("y.line_hash").alias("b"))
+    found = (F.col("x.word") == F.col("y.word")) & where & may_match("x.", "y.", least)
+    return x.join(y, found).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *more)
 
 
-def alike(pairs: DataFrame, docs: DataFrame, least: Jaccard) -> DataFrame:
-    """a, b of the pairs whose lines have the similarity, by their words. Lines are looked for in the texts again; a bitmap of
+def alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, least: Jaccard) -> DataFrame:
+    """a, b, p, q of the pairs whose lines have the similarity, by their words; p and q: their first places. Lines are looked for in the texts again; a bitmap of
     fixed size keeps most others out of the shuffle."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("line_hash")).distinct()
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "line_hash", "first"), "id")
+    keys = materialise(keys, "line-keys")
     bit = F.pmod(F.col("line_hash"), F.lit(BITMAP * 7))
-    marks = keys.select(F.floor(bit / 7).cast("int").alias("at"), F.pmod(bit, F.lit(7)).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bit"))).alias("m")).toPandas()
-    table = np.zeros(BITMAP, np.uint8)
-    table[marks["at"].to_numpy()] = marks["m"].to_numpy()
-    here = F.ascii(F.substring(F.lit(bytearray(table.tobytes())), F.floor(bit / 7).cast("int") + 1, F.lit(1)))
+    marks = keys.select(F.floor(bit / 7).cast("int").alias("at"), F.pmod(bit, F.lit(7)).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bit"))).alias("m"))
+    table = bytearray(BITMAP)
+    for at, m in marks.toLocalIterator():
+        table[at] = m
+    here = F.ascii(F.substring(F.lit(table), F.floor(bit / 7).cast("int") + 1, F.lit(1)))
     marked = F.call_function("shiftright", here, F.pmod(bit, F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
     found = lines_of(docs).where(marked).select("line_hash", "line").groupBy("line_hash").agg(F.first("line").alias("line"))
-    found = materialise(found.join(keys, "line_hash", "left_semi").select("line_hash", F.array_distinct(words(F.col("line"))).alias("w")), "line-words")
-    a, b = found.select(F.col("line_hash").alias("a"), F.col("w").alias("v")), found.select(F.col("line_hash").alias("b"), "w")
-    common = F.size(F.array_intersect("v", "w"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", common)
-    return both.where((F.size("v") + F.size("w") - F.col("common")) * least.over <= F.col("common") * least.under).select("a", "b")
-
-
-def line_links(docs: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
-    """a, b: hashes of different lines that are alike. Each line that has an alike line in an earlier place has a link to
-    one; groups of many alike lines aren't linked in all pairs."""
-    ranks = rarity(docs)
-    rows = postings(docs, ranks, least)
-    pairs, marked = candidates(rows, least)
-    pairs = materialise(pairs, "line-pairs")
-    links = materialise(alike(pairs, docs, least), "line-links")
-    lost = pairs.join(links, ["a", "b"], "left_anti")
+    found = materialise(found.join(keys, "line_hash").select("id", "first", "line"), "line-words")
+    a, b = found.select(F.col("id").alias("a"), F.col("first").alias("p"), F.col("line").alias("v")), found.select(F.col("id").alias("b"), F.col("first").alias("q"), F.col("line").alias("w"))
+    both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "p", "q", F.array_distinct(words(F.col("v"))).alias("v"), F.array_distinct(words(F.col("w"))).alias("w"))
+    both = both.withColumn("common", F.size(F.array_intersect("v", "w")))
+    return both.where((F.size("v") + F.size("w") - F.col("common")) * least.over <= F.col("common") * least.under).select("a", "b", "p", "q")
+
+
+def later(links: DataFrame) -> DataFrame:
+    return links.select(F.when(F.col("p") < F.col("q"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+
+
+def later_lines(docs: DataFrame, sets: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
+    """id of each line that an alike one comes before. Groups of many alike lines aren't compared in all pairs."""
+    rows = postings(sets)
+    pairs = materialise(candidates(rows, least), "line-pairs")
+    links = materialise(alike(pairs, sets, docs, least), "line-links")
+    found = materialise(later(links), "line-later")
+    lost = pairs.where("led").join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("id"))
+    lost = materialise(lost.distinct().join(found, "id", "left_anti"), "line-lost")
     if lost.isEmpty():
-        return links
-    # Lines that were left to a leader which they don't match after all.
-    lost = lost.select(F.explode(F.array(F.struct(F.col("a").alias("line_hash"), F.col("b").alias("leader")), F.struct(F.col("b").alias("line_hash"), F.col("a").alias("leader")))).alias("l")).select("l.*")
-    again = marked.where("led").join(lost, ["line_hash", "leader"], "left_semi")
-    if again.isEmpty():
-        return links
-    led = marked.where("led")
-    first = pairs_of(again, led, F.lit(True), least).unionByName(pairs_of(led, again, F.lit(True), least)).distinct()
-    more = materialise(first.join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-    return links.unionByName(materialise(alike(more, docs, least), "line-links"))
+        return found
+    # Lines that were left to a leader which they don't match after all, and that nothing else has removed, against the lists that they are in.
+    again = materialise(rows.join(lost, "id", "left_semi"), "line-again")
+    lists = rows.join(again.select("word").distinct(), "word", "left_semi")
+    more = pairs_of(again, lists, F.col("x.id") != F.col("y.id"), least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    return found.unionByName(later(alike(more, sets, docs, least))).distinct()
 
 
 def line_decisions(docs: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
@@ -170,11 +179,9 @@ def line_decisions(docs: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
     that no equal line comes before; and the numbers of the removed ones from 0. Lines without a word stay. A null text has no lines. Rows
     that repeat doc_id and text have the same result, as if there were one."""
     place = F.struct("doc_id", "text_hash", "line_no")
-    firsts = materialise(lines_of(docs).groupBy("line_hash").agg(F.min(place).alias("first")), "line-firsts")
-    links = line_links(docs, least)
-    a, b = firsts.select(F.col("line_hash").alias("a"), F.col("first").alias("p")), firsts.select(F.col("line_hash").alias("b"), F.col("first").alias("q"))
-    later = links.join(a, "a").join(b, "b").select(F.when(F.col("p") < F.col("q"), F.col("b")).otherwise(F.col("a")).alias("line_hash")).distinct()
-    firsts = materialise(firsts.join(later.withColumn("near", F.lit(True)), "line_hash", "left").select("line_hash", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-firsts")
+    sets = line_sets(docs, rarity(docs), least)
+    gone = later_lines(docs, sets, least)
+    firsts = materialise(sets.join(gone.withColumn("near", F.lit(True)), "id", "left").select("line_hash", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-firsts")
     rows = lines_of(docs).select("doc_id", "text_hash", "line_no", "line_hash").join(firsts, "line_hash")
     rows = rows.select("doc_id", "text_hash", "line_no", (~place.eqNullSafe(F.col("first"))).alias("again"), "near")
     gone = F.col("again") | F.col("near")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import compression, dart_minhash, decontam, langid, line_dedup, mixing, sharding, token_files, url_templates, warc
 
@@ -52,7 +53,8 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_decisions(table(spark, sf_dir, "documents")).drop("text_hash")
+    found = line_dedup.line_decisions(table(spark, sf_dir, "documents")).drop("text_hash")
+    return found.withColumn("removed_lines", F.array_join(F.col("removed_lines").cast("array<string>"), ","))
 
 
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +88,7 @@ ORACLE: dict[str, str] = {
         by_doc AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE again OR near) AS n_removed, count(*) FILTER (WHERE near AND NOT again) AS n_links,
                    list(line_no ORDER BY line_no) FILTER (WHERE again OR near) AS removed_lines FROM judged GROUP BY doc_id)
         SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_links, 0) AS n_links,
-               CAST(coalesce(removed_lines, []) AS INTEGER[]) AS removed_lines FROM documents LEFT JOIN by_doc USING (doc_id)""",
+               coalesce(array_to_string(removed_lines, ','), '') AS removed_lines FROM documents LEFT JOIN by_doc USING (doc_id)""",
     "op10_suffix_automaton": r"""
         WITH item AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
                       FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
