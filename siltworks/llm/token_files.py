@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import Published, open_fs, shared_path
 
 #: Parts of texts that a worker remembers the ids of.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Tokens in a row group, at most one document more.
 GROUP_TOKENS = 1 << 20
 FILE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("tokens", pa.list_(pa.int32()))])
@@ -75,9 +75,8 @@ class Encoder:
         known, signs = self.known, self.signs
         distinct = set().union(*pieces)
         new = distinct.difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = distinct
+        if len(known) + len(new) > REMEMBERED:  # what this batch has too stays: mostly frequent words
+            known = self.known = {p: known[p] for p in distinct.difference(new)}
         ended = [p for p in new if p.endswith((b".", b",")) and len(p) > 1 and 97 <= p[-2] <= 122]
         new.difference_update(ended)
         new.update(p[:-1] for p in ended)
