@@ -22,13 +22,15 @@ SYMBOLS = b"#*$%&|<>"
 class Bands:
     """lengths: upper bounds of the bands in UTF-8 bytes, the last band has none. low, high: the least and
     greatest ratio of raw to compressed bytes in each band. A short text can't compress well nor be judged as
-    noise, so the bands widen there. chunk: bytes of a chunk; only full chunks are judged. A document also
-    goes if more than odd_share of its chunks are outside chunk_low..chunk_high."""
+    noise, so the bands widen there. chunk: bytes of a chunk, less than a usual document has. What is left
+    after the full chunks is judged too, as the last chunk bytes of the text, and a shorter text is one chunk
+    with the band of its length. A document also goes if more than odd_share of its chunks are outside
+    chunk_low..chunk_high."""
 
     lengths: tuple[int, ...] = (64, 128, 256, 512, 1024, 4096, 16384)
     low: tuple[float, ...] = (0.0, 0.6, 0.85, 1.05, 1.2, 1.4, 1.5, 1.5)
     high: tuple[float, ...] = (2.5, 2.5, 3.0, 3.2, 3.5, 4.0, 4.5, 5.0)
-    chunk: int = 4096
+    chunk: int = 1024
     chunk_low: float = 1.4
     chunk_high: float = 4.0
     odd_share: float = 0.3
@@ -63,18 +65,20 @@ def base_counts(text: str, data: bytes) -> tuple[int, int, int, int, int]:
 
 
 def verdict(data: bytes, packer, bands: Bands) -> tuple[bool, float, int, int]:
-    """Whether the bands keep it, its ratio, its full chunks, those outside the band."""
+    """Whether the bands keep it, its ratio, its chunks (every byte is in one), those outside the band."""
     n = len(data)
     ratio = n / len(packer.compress(data))
     k = bisect_left(bands.lengths, n)
-    chunks = n // bands.chunk
+    whole = bands.low[k] <= ratio <= bands.high[k]
+    if n < bands.chunk:
+        return whole, ratio, 1, int(not whole)
+    chunks = -(-n // bands.chunk)
     odd = 0
     for i in range(chunks):
-        part = data[i * bands.chunk : (i + 1) * bands.chunk]
-        r = bands.chunk / len(packer.compress(part))
+        at = min(i * bands.chunk, n - bands.chunk)
+        r = bands.chunk / len(packer.compress(data[at : at + bands.chunk]))
         odd += not bands.chunk_low <= r <= bands.chunk_high
-    kept = bands.low[k] <= ratio <= bands.high[k] and odd <= bands.odd_share * chunks
-    return kept, ratio, chunks, odd
+    return whole and odd <= bands.odd_share * chunks, ratio, chunks, odd
 
 
 def compression_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:

@@ -42,6 +42,15 @@ def test_verdicts(spark):
     assert not {r.doc_id: r.kept for r in compression_quality(d, tight).collect()}[2]
 
 
+def test_tails_and_short_texts_are_judged(spark):
+    rng = random.Random(2)
+    clean = (cases.prose(11, 3000, 3000) * 2).encode()[:12_000].decode()
+    texts = [clean[:n] + " " + base64.b64encode(rng.randbytes(4000)).decode()[:k] for n, k in ((4095, 1500), (4095, 2500), (4095, 4000), (1500, 1200))] + [clean[:5600], clean[:2700], clean[:900]]
+    got = {r.doc_id: r for r in compression_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].kept for i in range(len(texts))] == [False] * 4 + [True] * 3
+    assert [got[i].n_chunks for i in (4, 5, 6)] == [6, 3, 1]
+
+
 def test_odd_rows(spark):
     d = compression_quality(cases.documents(spark, extra=True)).collect()
     assert len(d) == len(cases.rows())
