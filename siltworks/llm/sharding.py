@@ -13,28 +13,43 @@ from .common import fresh, materialise
 HEAVY = 1 / 4096
 #: Other groups are packed by the bucket of their hash.
 BUCKETS = 4096
-#: A group is cut into pieces of about this share at most, or one hot text would outgrow its shard.
+#: A group that fits in no shard is dealt out in pieces of about this share at most.
 PIECE = 1 / 1024
 #: Rows of a shard that are numbered in one task.
 RUN_ROWS = 20_000
 
 
-def pack(sizes: np.ndarray, n: int) -> np.ndarray:
-    """Bin of each unit. sizes: a row per unit with its share of bytes, tokens and rows. Largest units first,
-    each to the bin where its dot product with the residual capacity is highest, of those that it fits in,
-    or else of all; ties go to the first bin. At the end, units move between the fullest and the emptiest bin
-    while that evens the bytes."""
+def pack(sizes: np.ndarray, n: int, groups: np.ndarray | None = None) -> np.ndarray:
+    """Bin of each unit. sizes: a row per unit with its share of bytes, tokens and rows. groups: the number of
+    each unit's group from 0, by default each is its own. Groups of several units go first, the largest before
+    the others, each as a whole to the bin where its dot product with the residual capacity is highest, of
+    those that it fits in. Then all other units and those of groups that fit in no bin, likewise, but to the
+    best of all bins where none has room; ties go to the first bin. At the end, units that aren't parts of a
+    group placed as a whole move between the fullest and the emptiest bin while that evens the bytes."""
     bins = np.zeros(len(sizes), np.int64)
-    left = np.full((n, sizes.shape[1] if len(sizes) else 3), 1 / n)
-    for i in np.argsort(-sizes.max(axis=1), kind="stable") if len(sizes) else ():
-        score = left @ sizes[i]
-        fits = (left >= sizes[i]).all(axis=1)
-        bins[i] = np.argmax(np.where(fits, score, -np.inf) if fits.any() else score)
-        left[bins[i]] -= sizes[i]
-    for _ in range(4 * n if len(sizes) else 0):
+    if not len(sizes):
+        return bins
+    groups = np.arange(len(sizes)) if groups is None else groups
+    left = np.full((n, sizes.shape[1]), 1 / n)
+    whole = np.zeros((groups.max() + 1, sizes.shape[1]))
+    np.add.at(whole, groups, sizes)
+    members = np.split(np.argsort(groups, kind="stable"), np.cumsum(np.bincount(groups))[:-1])
+    loose = np.ones(len(sizes), bool)
+    for g in np.argsort(-whole.max(axis=1), kind="stable"):
+        fits = (left >= whole[g]).all(axis=1)
+        if len(members[g]) > 1 and fits.any():
+            bins[members[g]] = k = np.argmax(np.where(fits, left @ whole[g], -np.inf))
+            left[k] -= whole[g]
+            loose[members[g]] = False
+    for i in np.argsort(-sizes.max(axis=1), kind="stable"):
+        if loose[i]:
+            score, fits = left @ sizes[i], (left >= sizes[i]).all(axis=1)
+            bins[i] = np.argmax(np.where(fits, score, -np.inf) if fits.any() else score)
+            left[bins[i]] -= sizes[i]
+    for _ in range(4 * n):
         full, empty = np.argmin(left[:, 0]), np.argmax(left[:, 0])
         gap = (left[empty, 0] - left[full, 0]) / 2
-        mine = np.flatnonzero((bins == full) & (sizes[:, 0] <= gap) & (sizes[:, 0] > 0))
+        mine = np.flatnonzero((bins == full) & loose & (sizes[:, 0] <= gap) & (sizes[:, 0] > 0))
         if not len(mine):
             break
         i = mine[np.argmax(sizes[mine, 0])]
@@ -54,8 +69,8 @@ def measures(text):
 def assign_shards(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of docs (doc_id, text), and the
     columns in keep (none of them may have such a name). Law `bytes`: the shards' sizes are near equal. Equal
-    texts share a shard unless the group has more than PIECE of all: then its rows are cut into pieces by the
-    hash of doc_id. Null texts are as empty ones. Repeated rows are as other equal texts. slot: gapless from 0
+    texts share a shard unless no shard has room for them at their turn: then the rows are cut into pieces by
+    the hash of doc_id. Null texts are as empty ones. Repeated rows are as other equal texts. slot: gapless from 0
     in each shard, by hash run and doc_id; grown_shard: null, a law `bytes` doesn't use it.
 
     The driver packs 3 / HEAVY + BUCKETS groups and 3 / PIECE pieces at most. No text is shuffled unless kept."""
@@ -84,8 +99,9 @@ def assign_shards(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = ())
             piece, F.col(piece).isNotNull()
         )
 
-    packed = with_unit(sizes).groupBy(piece, unit).agg(*sums).orderBy(piece, unit).toPandas()
-    bins = pack(packed[["b", "t", "r"]].to_numpy(float) / [b, t, r], shards)
+    of = F.coalesce(F.min(F.when(F.col(piece), F.col(h))), F.col(unit)).alias("g")
+    packed = with_unit(sizes).groupBy(piece, unit).agg(*sums, of).orderBy(piece, unit).toPandas()
+    bins = pack(packed[["b", "t", "r"]].to_numpy(float) / [b, t, r], shards, packed.groupby([piece, "g"]).ngroup().to_numpy())
     packed["shard"] = bins.astype("int32")
     spark = docs.sparkSession
     placed = spark.createDataFrame(packed[[piece, unit, "shard"]], f"{piece} boolean, {unit} long, shard int")

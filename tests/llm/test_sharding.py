@@ -33,6 +33,24 @@ def test_pack_takes_the_best_dot_product():
     assert abs(load[:, 0] * 16 - 1).max() < 0.01 and abs(load * 16 - 1).max() < 0.05
 
 
+def test_groups_that_fit_in_a_shard_stay_whole(spark):
+    copies = {f"group {g} " * (5 + g): 20 + 12 * g for g in range(12)}
+    texts = [t for t, n in copies.items() for _ in range(n)] + [cases.prose(i, 20 + i % 70) for i in range(2500)] + ["hot text " * 20] * 900
+    got = assign_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sizes, groups = Counter(), defaultdict(set)
+    for r in got:
+        sizes[r.shard] += r.size
+        groups[texts[r.doc_id]].add(r.shard)
+    assert len(got) == len(texts) and max(sizes.values()) < 1.02 * sum(sizes.values()) / 16
+    assert all(len(groups[t]) == 1 for t in copies) and len(groups["hot text " * 20]) > 1
+
+
+def test_pack_cuts_what_fits_in_no_bin():
+    groups = np.repeat(np.arange(5), 100)
+    bins = pack(np.full((500, 3), 1 / 500), 4, groups)
+    assert np.bincount(bins).tolist() == [125] * 4 and sorted(len(set(bins[groups == g])) for g in range(5)) == [1, 1, 1, 1, 4]
+
+
 def test_odd_rows(spark, tmp_path):
     d = cases.documents(spark, extra=True)
     got = assign_shards(d).collect()
