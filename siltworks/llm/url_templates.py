@@ -2,33 +2,30 @@
 that are statistically alike are merged, and templates go whose labelled urls are blocked too purely.
 
 Labels come from rules for hosts and path prefixes; the tree carries them to urls that no rule fits. All is
-DataFrame operations; there is one pass for each of DEPTH levels."""
+DataFrame operations; there is one pass for each level, over the urls that reach it."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialise
 
-#: Levels of the tree; what lies deeper is one last wildcard.
-DEPTH = 4
 #: Host and path, and what becomes of urls there.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
 @dataclass(frozen=True)
 class Tree:
-    """A segment stays a branch of its own if at least `support` urls of the host have it at its node, and
-    the share `share` of the node's; so a node has 1 / share own branches at most. prior: labels that the
-    node above counts for. A template is rejected if its smoothed share of blocked labels is `purity` or
+    """A segment stays a branch of its own if at least `support` urls of the host have it at its node. prior:
+    labels that the node above counts for. A template is rejected if its smoothed share of blocked labels is `purity` or
     more. Two neighbours are merged if both have `labelled` labels, their shares of blocked ones don't differ by
     z standard errors, and what lies below them is alike in depth (by half a segment) and in digits (by a fifth of urls)."""
 
     support: int = 10
-    share: float = 0.05
     prior: float = 5.0
     purity: float = 0.8
     labelled: int = 5
@@ -67,7 +64,7 @@ def shape(segment):
 def labelled_tree(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFrame:
     """page_id, host, path, rule, rule_verdict, template, purity of each row of pages (page_id, url). template:
     the node in the tree of its host, merged branches under the name of the first; purity: the smoothed share
-    of blocked labels there. Null and odd urls have an empty host, as a host like others. A host's urls meet
+    of blocked labels there. The tree is as deep as the deepest path. Null and odd urls have an empty host, as a host like others. A host's urls meet
     only in counts, which are summed before they are shuffled."""
     n0, n1, n2, n3, n4, n5, n6, n7 = fresh(pages, "segments", "node", "n", "blocked", "allowed", "segment", "label", "purity_")
     host, path = parts(F.col("url"))
@@ -77,7 +74,7 @@ def labelled_tree(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFra
     x = x.withColumn(n0, F.filter(F.split("path", "/"), lambda s: s != ""))
     x = materialise(x, "url-rows")
     count = (F.count(F.lit(1)).alias(n2), F.count(F.when(F.col("rule_verdict") == "block", 1)).alias(n3), F.count(F.when(F.col("rule_verdict") == "allow", 1)).alias(n4))
-    total = x.agg(*count).first()
+    total = x.agg(*count, F.max(F.size(n0)).alias("depth")).first()
     base = (total[n3] + 1) / (total[n3] + total[n4] + 2)
 
     def smoothed(above):
@@ -85,23 +82,25 @@ def labelled_tree(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFra
 
     hosts = x.groupBy("host").agg(*count).select("host", smoothed(F.lit(base)).alias(n7))
     x = x.join(hosts, "host").withColumn(n1, F.lit(""))
-    for level in range(DEPTH):
-        x = x.withColumn(n5, F.when(F.size(n0) > level, F.element_at(n0, F.lit(level + 1)) if level + 1 < DEPTH else F.array_join(F.slice(n0, level + 1, 1 << 30), "/")))
-        here = x.where(F.col(n5).isNotNull())
-        kids = here.groupBy("host", n1, n5).agg(*count)
-        nodes = kids.groupBy("host", n1).agg(F.sum(n2).alias("all_"))
-        enough = F.greatest(F.lit(tree.support), tree.share * F.col("all_"))
-        kids = kids.join(nodes, ["host", n1])
-        own = materialise(kids.where(F.col(n2) >= enough).select("host", n1, n5, F.concat(F.lit("="), n5).alias("own_")), "url-own")
-        kinds = kids.where(F.col(n2) < enough).groupBy("host", n1, shape(F.col(n5)).alias("kind_")).agg(F.sum(n2).alias(n2), F.first("all_").alias("all_"))
-        kinds = kinds.where(F.col(n2) >= enough).select("host", n1, "kind_", F.concat(F.lit("*"), "kind_").alias("wild_"))
+    ended = [x.where(F.size(n0) == 0)]
+    for level in range(total.depth or 0):
+        x = x.where(F.size(n0) > level).withColumn(n5, F.element_at(n0, F.lit(level + 1)))
+        kids = x.groupBy("host", n1, n5).agg(*count)
+        enough = F.col(n2) >= tree.support
+        own = materialise(kids.where(enough).select("host", n1, n5, F.concat(F.lit("="), n5).alias("own_")), "url-own")
+        kinds = kids.where(~enough).groupBy("host", n1, shape(F.col(n5)).alias("kind_")).agg(F.sum(n2).alias(n2))
+        kinds = kinds.where(enough).select("host", n1, "kind_", F.concat(F.lit("*"), "kind_").alias("wild_"))
         x = x.join(own, ["host", n1, n5], "left").withColumn("kind_", shape(F.col(n5))).join(kinds, ["host", n1, "kind_"], "left")
-        x = x.withColumn(n6, F.when(F.col(n5).isNotNull(), F.coalesce("own_", "wild_", F.lit("*")))).drop("own_", "wild_", "kind_", n5)
+        x = x.withColumn(n6, F.coalesce("own_", "wild_", F.lit("*"))).drop("own_", "wild_", "kind_", n5)
         x = materialise(x, "url-rows")
-        # Neighbours among the branches of a node, by their share of blocked labels, become one where they are alike.
+        # Neighbours among the labelled branches of a node, by their share of blocked labels, become one where they are alike.
         below = F.size(n0) - (level + 1)
         digits = F.when(F.get(n0, F.lit(level + 1)).rlike("[0-9]"), 1.0).otherwise(0.0)
-        branch = x.where(F.col(n6).isNotNull()).groupBy("host", n1, n6, n7).agg(*count, F.avg(below).alias("below_"), F.avg(F.when(below > 0, digits).otherwise(0.0)).alias("digits_"))
+        branch = x.groupBy("host", n1, n6, n7).agg(*count, F.avg(below).alias("below_"), F.avg(F.when(below > 0, digits).otherwise(0.0)).alias("digits_"))
+        branch = materialise(branch, "url-branches")
+        labels = F.col(n3) + F.col(n4)
+        bare = branch.where(labels == 0).select("host", n1, n6, F.col(n6).alias("to_"), n3, n4, F.col(n7).alias("above_"))
+        branch = branch.where(labels > 0)
         raw = F.try_divide(F.col(n3), F.col(n3) + F.col(n4))
         side = Window.partitionBy("host", n1).orderBy(raw, n6)
         last = lambda c: F.lag(c).over(side)
@@ -115,11 +114,12 @@ def labelled_tree(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFra
         branch = branch.withColumn("cut_", F.when(F.coalesce(alike, F.lit(False)), 0).otherwise(1)).withColumn("run_", F.sum("cut_").over(side))
         run = Window.partitionBy("host", n1, "run_")
         branch = branch.select("host", n1, n6, F.min(n6).over(run).alias("to_"), *(F.sum(c).over(run).alias(c) for c in (n3, n4)), F.col(n7).alias("above_"))
-        branch = branch.withColumn("p_", smoothed(F.col("above_"))).select("host", n1, n6, "to_", "p_")
-        x = x.join(branch, ["host", n1, n6], "left")
-        x = x.withColumn(n1, F.when(F.col("to_").isNotNull(), F.concat(F.col(n1), F.lit("/"), F.col("to_"))).otherwise(F.col(n1)))
-        x = x.withColumn(n7, F.coalesce("p_", n7)).drop("to_", "p_", n6)
-    return x.select("page_id", "host", "path", "rule", "rule_verdict", F.col(n1).alias("template"), F.col(n7).alias("purity"))
+        branch = branch.unionByName(bare).withColumn("p_", smoothed(F.col("above_"))).select("host", n1, n6, "to_", "p_")
+        x = x.join(materialise(branch, "url-branches"), ["host", n1, n6])
+        x = x.withColumn(n1, F.concat(F.col(n1), F.lit("/"), F.col("to_"))).withColumn(n7, F.col("p_")).drop("to_", "p_", n6)
+        ended.append(x.where(F.size(n0) == level + 1))
+    out = (part.select("page_id", "host", "path", "rule", "rule_verdict", F.col(n1).alias("template"), F.col(n7).alias("purity")) for part in ended)
+    return reduce(DataFrame.unionByName, out)
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFrame:

@@ -53,5 +53,20 @@ def test_alike_branches_merge(spark):
     assert templates["x1"] == templates["y1"] != templates["z1"]
 
 
+def test_small_sections_of_a_large_host_are_branches(spark):
+    rules = (("x.net", "/s1/", "block"), ("x.net", "/big/1", "allow"))
+    urls = [f"http://x.net/big/{i}" for i in range(800)] + [f"http://x.net/s{k}/p{i}" for k in range(1, 30) for i in range(40)]
+    got = url_verdicts(frame(spark, urls), rules).collect()
+    assert len(got) == len(urls) and {r.verdict for r in got if r.rule is None and r.path.startswith("/s")} == {"allow"}
+    assert len({r.template.split("/")[1] for r in got}) == 30
+
+
+def test_deep_segments_are_levels(spark):
+    urls = [f"http://d.net/a/b/c/d/e/{k}/{i}.html" for k in ("x", "y") for i in range(20)] + ["http://d.net/a", "http://d.net"]
+    got = url_verdicts(frame(spark, urls), (("d.net", "/a/b/c/d/e/x/", "block"),)).collect()
+    assert len(got) == len(urls)
+    assert sorted({r.template for r in got}) == ["", "/=a", "/=a/=b/=c/=d/=e/=x/*0.a", "/=a/=b/=c/=d/=e/=y/*0.a"]
+
+
 def test_empty(spark):
     assert url_verdicts(frame(spark, [])).count() == 0
