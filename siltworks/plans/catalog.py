@@ -440,6 +440,12 @@ def audio_fingerprints(spark, sf_dir):
 
 @query()
 def report_json(spark, sf_dir):
-    """The groups that a report shows, as JSON."""
-    groups = exact.exact_groups(hashed(spark, sf_dir)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("wasted_space"), "content_hash")))
-    return groups.where("rank <= 50").select("rank", F.to_json(F.struct("content_hash", "size", "n_files", "wasted_space", "is_cross_directory", "files")).alias("json"))
+    """All groups, as a JSON report has them; ranked by ranges of the order, so no task has all of them."""
+    order = (F.desc("wasted_space"), F.asc("content_hash"))
+    groups = exact.exact_groups(hashed(spark, sf_dir)).repartitionByRange(64, *order).withColumn("part", F.spark_partition_id())
+    groups = materialise(groups, "report-groups")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    json = F.to_json(F.struct("content_hash", "size", "n_files", "wasted_space", "is_cross_directory", "files"))
+    return groups.join(F.broadcast(starts), "part").select(rank.alias("rank"), json.alias("json"))

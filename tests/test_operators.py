@@ -180,3 +180,16 @@ def test_scan_filter(spark):
 def test_known_totals(spark):
     got = catalog.exact_summary(spark, "/root/testdata/sf0.01").first()
     assert (got.n_groups, got.total_duplicate_files, got.total_wasted_space, got.cross_directory_wasted_space) == (62, 135, 163961, 159365)
+
+
+def test_report_json_has_all_groups(spark):
+    import json
+
+    from siltworks.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    got = sorted(catalog.report_json(spark, sf).collect())
+    want = sorted((-r.wasted_space, r.content_hash) for r in catalog.exact_groups(spark, sf).collect())
+    found = [json.loads(r.json) for r in got]
+    assert len(want) > 50 and [r["rank"] for r in got] == list(range(1, len(want) + 1))
+    assert [(-g["wasted_space"], g["content_hash"]) for g in found] == want and all(len(g["files"]) == g["n_files"] for g in found)
