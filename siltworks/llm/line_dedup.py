@@ -4,20 +4,21 @@ alike the later goes. All is DataFrame operations."""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, materialise
 
-#: Words are counted by so many hash buckets, whose counts order them by rarity; longer words go first in a class.
-BUCKETS = 1 << 17
-#: A bitmap of so many bytes, seven bits each, tells which lines may be needed for verification.
-BITMAP = 1 << 18
-#: In a posting list of more lines, those that may match its earliest line aren't held against each other.
-HOT = 64
+#: Cells of a table of one byte each that the driver holds: 2 ** CELL_BITS, by the highest bits of a hash.
+CELL_BITS = 20
+#: Cells that one row brings to the driver: 2 ** ROW_BITS.
+ROW_BITS = 10
+#: The byte of a cell of value 0; values go up to 63.
+ZERO = 48
+#: In a posting list of more lines, they are held against its earliest line first.
+HOT = 128
 
 
 @dataclass(frozen=True)
@@ -29,174 +30,177 @@ class Jaccard:
 
     def overlap(self, n):
         """Words that a set of n shares with an alike one at least."""
-        return F.floor((self.over * n + self.under - 1) / self.under)
+        return F.ceil(self.over * n / self.under)
 
-    def shared(self, n, m):
-        """Words that alike sets of n and m share at least."""
-        return F.floor((self.over * (n + m) + self.over + self.under - 1) / (self.over + self.under))
+    def shares(self, common, total):
+        """Whether sets of total words in all, so many of them common, are alike."""
+        return (self.over + self.under) * common >= self.over * total
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line, line_hash of each line with a word of docs (doc_id, text). Lines end at \\n;
-    words are what stands between blanks and tabs."""
+    """doc_id, text_hash, line_no, line, h1, h2 of each line with a word of docs (doc_id, text). Lines end at \\n;
+    words are what stands between blanks and tabs. A line is known by both hashes, 128 bits."""
     x = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.replace(F.col("text"), F.lit("\t"), F.lit(" ")), "\n")).alias("line_no", "line"))
-    return x.where(F.trim("line") != "").withColumn("line_hash", F.xxhash64("line"))
+    return x.where(F.trim("line") != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
 
 
 def words(line):
     return F.array_remove(F.split(line, " "), "")
 
 
-def bucket_of(h):
-    return F.shiftright(h, 20).bitwiseAND(F.lit(BUCKETS - 1))
+def cell_of(h):
+    return F.shiftrightunsigned(h, 64 - CELL_BITS).cast("int")
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """For each bucket a byte, twice the logarithm of how often its words occur in all texts."""
+def cells(spark: SparkSession, rows: DataFrame, value) -> bytearray:
+    """A byte for each cell: ZERO and the value, from 0 to 63, of the sum of `n` over the rows (cell, n) there."""
+    empty = spark.range(1 << CELL_BITS).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"))
+    sums = rows.select("cell", F.col("n").cast("long").alias("n")).unionByName(empty).groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = sums.select("cell", (value(F.col("n")) + ZERO).cast("int").alias("v"))
+    part = F.array_sort(F.collect_list(F.struct("cell", "v")))
+    found = sums.groupBy(F.shiftright("cell", ROW_BITS).alias("part")).agg(F.array_join(F.transform(part, lambda x: F.char(x["v"])), "").alias("s"))
+    return bytearray("".join(x.s for x in sorted(found.collect())).encode())
+
+
+def at(table: bytearray, h):
+    """The byte of a hash's cell."""
+    return F.ascii(F.substring(F.lit(table), cell_of(h) + 1, F.lit(1)))
+
+
+def rank_of(n):
+    return F.least(F.lit(63), F.floor(2 * F.log2(n + 1)))
+
+
+def rarity(docs: DataFrame) -> bytearray:
+    """For each cell twice the logarithm of in how many texts its words occur."""
     flat = F.replace(F.replace(F.col("text"), F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit(" "))
-    w = docs.where(F.col("text").isNotNull()).select(F.explode(F.split(flat, " ")).alias("w")).where("w != ''")
-    out = bytearray(BUCKETS)
-    for b, n in w.select(bucket_of(F.xxhash64("w")).cast("int").alias("b")).groupBy("b").count().toLocalIterator():
-        out[b] = min(63, int(2 * math.log2(n + 1)))
-    return bytes(out)
+    w = docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(F.split(flat, " "))).alias("w"))
+    return cells(docs.sparkSession, w.groupBy(cell_of(F.xxhash64("w")).alias("cell")).agg(F.count(F.lit(1)).alias("n")), rank_of)
 
 
-#: Of a line: its id, its distinct words, and a sketch of 128 bits of which each word flips one; lines of up to 64
-#: words have the exclusive or of its halves in the first and nothing in the second, so most rows are shorter.
+#: Of a line: its id, how many distinct words it has, and a sketch: `sketch` has a bit flipped by each word; for
+#: lines of more than 64 words `sketch2` has those of half the words, so that both tell 128 bits.
 FEATURES = ("id", "n", "sketch", "sketch2")
 
 
-def line_sets(docs: DataFrame, ranks: bytes, least: Jaccard) -> DataFrame:
-    """FEATURES, line_hash, first, prefix of each distinct line. first: its first place; prefix: hashes of its rarest words, in order."""
-    table = F.lit(bytearray(ranks))
-    hashed = F.transform(words(F.col("line")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-64)).bitwiseOR((F.lit(63) - F.least(F.octet_length(w), F.lit(63))).cast("long")))
+def line_sets(docs: DataFrame, firsts: DataFrame, ranks: bytearray, least: Jaccard) -> DataFrame:
+    """FEATURES and prefix, the posting words of the rarest words in order, of each distinct line. A word is a number, its cell's rank in the
+    highest byte and 56 bits of its hash. Words that clash are more alike than they should be, so no pair is lost."""
 
     def ranked(g):
-        rank = F.ascii(F.substring(table, (bucket_of(g) + 1).cast("int"), F.lit(1))).cast("long")
-        return F.shiftleft(rank, 57).bitwiseOR(F.shiftleft(g.bitwiseAND(F.lit(63)), 51)).bitwiseOR(F.shiftrightunsigned(g, 13))
+        return F.shiftleft(at(ranks, g).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(g, 8))
 
-    def half(which):
-        def flip(a, v):
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
-            return F.when((v.bitwiseAND(F.lit(64)) == which) | ((n <= 64) & (which == 0)), a.bitwiseXOR(bit)).otherwise(a)
+    w = F.transform(F.array_distinct(F.split("line", " ")), lambda x: F.xxhash64(x))
+    w = F.array_remove(w, F.xxhash64(F.lit("")))
+    x = lines_of(docs).select("h1", "h2", F.sort_array(F.transform(w, ranked)).alias("w"))
+    n = F.size("w")
 
-        none = F.lit(0).cast("long")
-        return F.aggregate("w", none, flip) if not which else F.when(n <= 64, none).otherwise(F.aggregate("w", none, flip))
+    def bit(one, v):
+        return F.call_function("shiftleft", one, v.bitwiseAND(F.lit(63)).cast("int"))
 
-    place = F.struct("doc_id", "text_hash", "line_no").alias("place")
-    x = lines_of(docs).select("line_hash", place, F.sort_array(F.array_distinct(F.transform(hashed, ranked))).alias("w"))
-    n = F.size("w").cast("long")
+    none = F.lit(0).cast("long")
+    sketch = F.aggregate("w", none, lambda a, v: a.bitwiseXOR(bit(F.lit(1).cast("long"), v)))
+    half = F.aggregate("w", none, lambda a, v: a.bitwiseXOR(bit(F.shiftright(v, 6).bitwiseAND(F.lit(1)), v)))
     prefix = F.transform(F.slice("w", F.lit(1), (n - least.overlap(n) + 1).cast("int")), lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    x = x.select("line_hash", "place", n.cast("int").alias("n"), half(0).alias("sketch"), half(64).alias("sketch2"), prefix.alias("prefix"))
-    x = x.groupBy("line_hash", "n", "sketch", "sketch2", "prefix").agg(F.min("place").alias("first")).withColumn("id", F.monotonically_increasing_id())
-    return materialise(x, "line-sets")
+    x = x.select("h1", "h2", F.struct(n.alias("n"), sketch.alias("sketch"), F.when(n > 64, half).otherwise(none).alias("sketch2"), prefix.alias("prefix")).alias("f"))
+    x = x.groupBy("h1", "h2").agg(F.first("f").alias("f"))
+    return materialise(x.join(firsts.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "f.*"), "line-sets")
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """word, place, FEATURES, first_doc: a row for each word of the prefix of each line."""
-    return sets.select(F.posexplode_outer("prefix").alias("place", "word"), *FEATURES, F.col("first.doc_id").alias("first_doc")).where("word IS NOT NULL")
+    """word, place, FEATURES: a row for each word of the prefix of each line."""
+    return sets.select(F.posexplode("prefix").alias("place", "word"), *FEATURES)
 
 
 def may_match(a: str, b: str, least: Jaccard):
     """Length filter, positional filter (alike lines have a first common word, from which on each has as many words
-    as are needed), and sketch: words that aren't shared differ in bits."""
+    as are needed), and sketch: words that aren't shared differ in bits, and are few."""
     (n, place, s, t), (n2, place2, s2, t2) = ([F.col(f"{x}{c}") for c in ("n", "place", "sketch", "sketch2")] for x in (a, b))
-    need = least.shared(n, n2)
-    length = F.least(n, n2) >= least.overlap(F.greatest(n, n2))
-    left = F.least(n - place, n2 - place2)
-    folded = s.bitwiseXOR(t).bitwiseXOR(s2).bitwiseXOR(t2)
-    unlike = F.when(F.least(n, n2) <= 64, F.bit_count(folded)).otherwise(F.bit_count(s.bitwiseXOR(s2)) + F.bit_count(t.bitwiseXOR(t2)))
-    return length & (left >= need) & (unlike <= n + n2 - 2 * need)
-
-
-def candidates(rows: DataFrame, least: Jaccard) -> DataFrame:
-    """Pairs a, b of lines (ids) with a common prefix word that the filters let pass. In a list of more than HOT lines, pairs of
-    lines that both may match its earliest one (and are of later documents) are left to that one; `led` tells
-    which pairs are with it."""
-    ordered = Window.partitionBy("word").orderBy("first_doc", "id")
-    x = rows.withColumn("top", F.first(F.struct(*FEATURES, "place", "first_doc")).over(ordered))
-    x = x.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("many > 1")
-    ok = may_match("", "top.", least) & (F.col("first_doc") > F.col("top.first_doc"))
-    led = (F.col("many") > HOT) & ((F.col("id") == F.col("top.id")) | ok)
-    x = x.select("word", "place", *FEATURES, F.coalesce(led, F.lit(False)).alias("led"), F.col("top.id").alias("leader"))
-    both = F.col("x.led") & F.col("y.led")
-    leads = (F.col("x.id") == F.col("x.leader")) | (F.col("y.id") == F.col("y.leader"))
-    found = pairs_of(x, x, (F.col("x.id") < F.col("y.id")) & (~both | leads), least, both.alias("led"))
-    return found.groupBy("a", "b").agg(F.max("led").alias("led"))
-
-
-def pairs_of(x: DataFrame, y: DataFrame, where, least: Jaccard, *more) -> DataFrame:
-    x, y = x.alias("x"), y.alias("y")
+    length = least.under * F.least(n, n2) >= least.over * F.greatest(n, n2)
+    left = least.shares(F.least(n - place, n2 - place2), n + n2)
+    whole, half = s.bitwiseXOR(s2), t.bitwiseXOR(t2)
+    unlike = F.when(F.least(n, n2) <= 64, F.bit_count(whole)).otherwise(F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half)))
+    return length & left & ((least.over + least.under) * unlike <= (least.under - least.over) * (n + n2))
+
+
+def pairs_of(x: DataFrame, y: DataFrame, where, least: Jaccard) -> DataFrame:
+    """a < b, ids of lines of x and y that share a posting word and pass the filters."""
     found = (F.col("x.word") == F.col("y.word")) & where & may_match("x.", "y.", least)
-    return x.join(y, found).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *more)
+    both = x.alias("x").join(y.alias("y"), found).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return both.distinct()
+
+
+def cold_pairs(rows: DataFrame, least: Jaccard) -> DataFrame:
+    """Of two alike lines the one with fewer words has a common word so early that this bounds its place more tightly."""
+    early = rows.where((least.over + least.under) * F.col("place") <= (least.under - least.over) * F.col("n"))
+    shorter = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    return pairs_of(early, rows, shorter, least)
 
 
-def alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, least: Jaccard) -> DataFrame:
-    """a, b, p, q of the pairs whose lines have the similarity, by their words; p and q: their first places. Lines are looked for in the texts again; a bitmap of
-    fixed size keeps most others out of the shuffle."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "line_hash", "first"), "id")
+def alike(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, least: Jaccard) -> DataFrame:
+    """a, b of the pairs whose lines have the similarity, by their words. Lines are looked for in the texts again; a
+    table of marks of fixed size keeps most others out of the shuffle."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts.select("id", "h1", "h2"), "id")
     keys = materialise(keys, "line-keys")
-    bit = F.pmod(F.col("line_hash"), F.lit(BITMAP * 7))
-    marks = keys.select(F.floor(bit / 7).cast("int").alias("at"), F.pmod(bit, F.lit(7)).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bit"))).alias("m"))
-    table = bytearray(BITMAP)
-    for at, m in marks.toLocalIterator():
-        table[at] = m
-    here = F.ascii(F.substring(F.lit(table), F.floor(bit / 7).cast("int") + 1, F.lit(1)))
-    marked = F.call_function("shiftright", here, F.pmod(bit, F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    found = lines_of(docs).where(marked).select("line_hash", "line").groupBy("line_hash").agg(F.first("line").alias("line"))
-    found = materialise(found.join(keys, "line_hash").select("id", "first", "line"), "line-words")
-    a, b = found.select(F.col("id").alias("a"), F.col("first").alias("p"), F.col("line").alias("v")), found.select(F.col("id").alias("b"), F.col("first").alias("q"), F.col("line").alias("w"))
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "p", "q", F.array_distinct(words(F.col("v"))).alias("v"), F.array_distinct(words(F.col("w"))).alias("w"))
-    both = both.withColumn("common", F.size(F.array_intersect("v", "w")))
-    return both.where((F.size("v") + F.size("w") - F.col("common")) * least.over <= F.col("common") * least.under).select("a", "b", "p", "q")
-
-
-def later(links: DataFrame) -> DataFrame:
-    return links.select(F.when(F.col("p") < F.col("q"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-
-
-def later_lines(docs: DataFrame, sets: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
-    """id of each line that an alike one comes before. Groups of many alike lines aren't compared in all pairs."""
+    mark = F.call_function("shiftleft", F.lit(1), F.pmod(F.col("h1"), F.lit(6)).cast("int"))
+    marks = keys.select(cell_of(F.col("h1")).alias("cell"), mark.alias("m")).groupBy("cell").agg(F.bit_or("m").alias("n"))
+    table = cells(docs.sparkSession, marks, lambda n: n)
+    marked = (at(table, F.col("h1")) - ZERO).bitwiseAND(mark) != 0
+    found = lines_of(docs).where(marked).select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    found = found.join(keys, ["h1", "h2"]).select("id", "line", F.size(F.array_distinct(words(F.col("line")))).alias("n"))
+    found = materialise(found, "line-words")
+    a, b = (found.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    common = F.size(F.array_intersect(words(F.col("line_a")), words(F.col("line_b"))))
+    return pairs.join(a, "a").join(b, "b").where(least.shares(common, F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def later_lines(docs: DataFrame, sets: DataFrame, firsts: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
+    """id of each line that an alike one comes before; ids are in the order of the lines. In lists of more than HOT lines, these are held against the
+    earliest first; only those that this doesn't remove, nor another list, are then held against all before them."""
     rows = postings(sets)
-    pairs = materialise(candidates(rows, least), "line-pairs")
-    links = materialise(alike(pairs, sets, docs, least), "line-links")
-    found = materialise(later(links), "line-later")
-    lost = pairs.where("led").join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("id"))
-    lost = materialise(lost.distinct().join(found, "id", "left_anti"), "line-lost")
-    if lost.isEmpty():
-        return found
-    # Lines that were left to a leader which they don't match after all, and that nothing else has removed, against the lists that they are in.
-    again = materialise(rows.join(lost, "id", "left_semi"), "line-again")
-    lists = rows.join(again.select("word").distinct(), "word", "left_semi")
-    more = pairs_of(again, lists, F.col("x.id") != F.col("y.id"), least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    lists = rows.groupBy("word").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("leader"))
+    lists = materialise(lists.where(F.col("many") > HOT).select("word", "leader"), "line-lists")
+    if lists.isEmpty():
+        pairs = materialise(cold_pairs(rows, least), "line-pairs")
+        return materialise(alike(pairs, firsts, docs, least).select(F.col("b").alias("id")).distinct(), "line-later")
+    hot = materialise(rows.join(lists, "word"), "line-hot")
+    leaders = hot.where("id = leader")
+    led = pairs_of(leaders, hot, F.col("x.id") < F.col("y.id"), least)
+    cold = cold_pairs(rows.join(lists, "word", "left_anti"), least)
+    pairs = materialise(cold.unionByName(led).distinct(), "line-pairs")
+    found = materialise(alike(pairs, firsts, docs, least).select(F.col("b").alias("id")).distinct(), "line-later")
+    again = hot.join(found, "id", "left_anti")
+    more = pairs_of(again, hot, F.col("x.id") > F.col("y.id"), least)
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-    return found.unionByName(later(alike(more, sets, docs, least))).distinct()
+    if more.isEmpty():
+        return found
+    return found.unionByName(alike(more, firsts, docs, least).select(F.col("b").alias("id"))).distinct()
 
 
 def line_decisions(docs: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
-    """doc_id, text_hash, n_lines, n_removed, n_links, removed_lines of each row of docs (doc_id, text): its lines with a word, those that
+    """doc_id, text_hash, n_lines, n_removed, n_near, removed_lines of each row of docs (doc_id, text): its lines with a word, those that
     are removed because an equal or alike line comes before, by doc_id (null first), hash of the text and line number; of these, those
     that no equal line comes before; and the numbers of the removed ones from 0. Lines without a word stay. A null text has no lines. Rows
-    that repeat doc_id and text have the same result, as if there were one."""
-    place = F.struct("doc_id", "text_hash", "line_no")
-    sets = line_sets(docs, rarity(docs), least)
-    gone = later_lines(docs, sets, least)
-    firsts = materialise(sets.join(gone.withColumn("near", F.lit(True)), "id", "left").select("line_hash", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-firsts")
-    rows = lines_of(docs).select("doc_id", "text_hash", "line_no", "line_hash").join(firsts, "line_hash")
-    rows = rows.select("doc_id", "text_hash", "line_no", (~place.eqNullSafe(F.col("first"))).alias("again"), "near")
-    gone = F.col("again") | F.col("near")
-    by_doc = rows.groupBy("doc_id", "text_hash").agg(
-        F.countDistinct("line_no").alias("n_lines"), F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed_lines"),
-        F.size(F.collect_set(F.when(~F.col("again") & F.col("near"), F.col("line_no")))).cast("long").alias("n_links"),
-    )
-    (doc, text) = ("doc_id_", "text_hash_")
-    by_doc = by_doc.withColumnRenamed("doc_id", doc).withColumnRenamed("text_hash", text)
+    that repeat doc_id and text have the same result, as if there were one. Which lines are alike is decided exactly; how many
+    lines each is alike isn't told, as in a large group of alike lines they aren't all compared."""
+    place = ("doc_id", "text_hash", "line_no")
+    rows = materialise(lines_of(docs).select(*place, "h1", "h2"), "line-rows")
+    firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("first")).select("h1", "h2", "first.*").orderBy(*place)
+    firsts = materialise(firsts.withColumn("id", F.monotonically_increasing_id()), "line-firsts")
+    sets = line_sets(docs, firsts, rarity(docs), least)
+    gone = later_lines(docs, sets, firsts, least)
+    flags = firsts.join(gone.withColumn("near", F.lit(True)), "id", "left").select("h1", "h2", F.struct(*place).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    seen = rows.join(flags, ["h1", "h2"])
+    why = F.when(~F.struct(*place).eqNullSafe(F.col("first")), 1).when(F.col("near"), 2).otherwise(0)
+    doc, text, coded = "doc_id_", "text_hash_", F.col("line_no").cast("long") * 4 + why
+    by_doc = seen.groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).agg(F.sort_array(F.collect_set(coded)).alias("c"))
     all_rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").isNotNull().alias("has"))
     out = all_rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col("text_hash") == F.col(text)) & F.col("has"), "left")
-    none = F.array().cast("array<int>")
+    out = out.select("doc_id", "text_hash", F.coalesce("c", F.array().cast("array<bigint>")).alias("c"))
+    gone = F.transform(F.filter("c", lambda x: x % 4 != 0), lambda x: F.shiftright(x, 2).cast("int"))
     return out.select(
-        "doc_id", "text_hash", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("removed_lines", none).alias("removed_lines"),
+        "doc_id", "text_hash", F.size("c").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"),
+        F.size(F.filter("c", lambda x: x % 4 == 2)).cast("long").alias("n_near"), gone.alias("removed_lines"),
     )
 
 

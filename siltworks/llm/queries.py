@@ -85,9 +85,9 @@ ORACLE: dict[str, str] = {
                   WHERE len(list_intersect(a.s, b.s)) * 5 >= (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) * 4),
         near AS (SELECT DISTINCT x AS line FROM alike JOIN first a ON a.line = x JOIN first b ON b.line = y WHERE b.p < a.p),
         judged AS (SELECT doc_id, line_no, p <> {'d': doc_id, 'l': line_no} AS again, near.line IS NOT NULL AS near FROM line JOIN first USING (line) LEFT JOIN near USING (line)),
-        by_doc AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE again OR near) AS n_removed, count(*) FILTER (WHERE near AND NOT again) AS n_links,
+        by_doc AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE again OR near) AS n_removed, count(*) FILTER (WHERE near AND NOT again) AS n_near,
                    list(line_no ORDER BY line_no) FILTER (WHERE again OR near) AS removed_lines FROM judged GROUP BY doc_id)
-        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_links, 0) AS n_links,
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_near, 0) AS n_near,
                coalesce(array_to_string(removed_lines, ','), '') AS removed_lines FROM documents LEFT JOIN by_doc USING (doc_id)""",
     "op10_suffix_automaton": r"""
         WITH item AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w

@@ -55,7 +55,7 @@ def test_odd_rows(spark):
     for r in line_decisions(d).collect():
         got.setdefault(r.doc_id, []).append(r)
     assert sum(map(len, got.values())) == len(cases.rows())
-    assert got[13][0].removed_lines == [1, 4] and got[14][0].removed_lines == [1] and got[14][0].n_links == 1
+    assert got[13][0].removed_lines == [1, 4] and got[14][0].removed_lines == [1] and got[14][0].n_near == 1
     assert got[5][0].n_lines == 0 and got[7][0].removed_lines == [] and got[2][0].n_removed == 1
     assert [r.n_removed for r in got[16]] == [0, 0]
     cut = without_repeated_lines(d)
