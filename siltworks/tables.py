@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests,
-    local mode) a folder of this machine is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset in
+    local mode, as in tests, a folder of this machine is set; on a cluster each machine would have its own."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='siltworks-')}"
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -30,7 +32,9 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
+    """df written as Parquet to the shared folder and read again. Nothing needs the shuffles behind the table any more; the
+    driver's JVM is asked to collect its garbage, at which Spark removes their files from the executors."""
     path = shared_path(df.sparkSession, what) + "/table"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
