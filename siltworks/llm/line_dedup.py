@@ -4,6 +4,7 @@ alike the later goes. All is DataFrame operations."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 from .common import fresh, materialise
 
 #: Cells of a table of one byte each that the driver holds: 2 ** CELL_BITS, by the highest bits of a hash.
-CELL_BITS = 20
+CELL_BITS = 18
 #: Cells that one row brings to the driver: 2 ** ROW_BITS.
-ROW_BITS = 10
+ROW_BITS = 9
 #: The byte of a cell of value 0; values go up to 63.
 ZERO = 48
 #: In a posting list of more lines, they are held against its earliest line first.
 HOT = 128
+#: Marks posting words that may have so long a list, as their cells' words occur so often.
+OFTEN = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,29 @@ def cell_of(h):
     return F.shiftrightunsigned(h, 64 - CELL_BITS).cast("int")
 
 
+def mark_of(h):
+    """A bit of six for a hash."""
+    return F.call_function("shiftleft", F.lit(1), F.pmod(h, F.lit(6)).cast("int"))
+
+
+def marks(spark: SparkSession, keys: DataFrame, h) -> bytearray:
+    """A table of fixed size that tells of a hash whether it may be one of the keys'."""
+    found = keys.select(cell_of(h).alias("cell"), mark_of(h).alias("m")).groupBy("cell").agg(F.bit_or("m").alias("n"))
+    return cells(spark, found, lambda n: n)
+
+
+def marked(table: bytearray, h):
+    return (at(table, h) - ZERO).bitwiseAND(mark_of(h)) != 0
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """doc_id, text of docs, of rows with equal texts one at least, and few more unless there are too many texts to mark."""
+    both = (F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2"))
+    mine = F.xxhash64(*both, "doc_id")
+    first = docs.where(F.col("text").isNotNull()).select(*both, mine.alias("h")).groupBy("t1", "t2").agg(F.min("h").alias("h"))
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull() & marked(marks(docs.sparkSession, first, F.col("h")), mine))
+
+
 def cells(spark: SparkSession, rows: DataFrame, value) -> bytearray:
     """A byte for each cell: ZERO and the value, from 0 to 63, of the sum of `n` over the rows (cell, n) there."""
     empty = spark.range(1 << CELL_BITS).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"))
@@ -72,9 +98,9 @@ def rank_of(n):
 
 
 def rarity(docs: DataFrame) -> bytearray:
-    """For each cell twice the logarithm of in how many texts its words occur."""
+    """For each cell twice the logarithm of how often its words occur."""
     flat = F.replace(F.replace(F.col("text"), F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit(" "))
-    w = docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(F.split(flat, " "))).alias("w"))
+    w = docs.where(F.col("text").isNotNull()).select(F.explode(F.split(flat, " ")).alias("w")).where("w != ''")
     return cells(docs.sparkSession, w.groupBy(cell_of(F.xxhash64("w")).alias("cell")).agg(F.count(F.lit(1)).alias("n")), rank_of)
 
 
@@ -95,13 +121,18 @@ def line_sets(docs: DataFrame, firsts: DataFrame, ranks: bytearray, least: Jacca
     x = lines_of(docs).select("h1", "h2", F.sort_array(F.transform(w, ranked)).alias("w"))
     n = F.size("w")
 
+    often = ZERO + min(63, int(2 * math.log2(HOT + 1)))
+
+    def posting(v):
+        return v.bitwiseAND(F.lit(OFTEN - 1)).cast("int").bitwiseOR(F.when(F.shiftright(v, 56) >= often, F.lit(OFTEN)).otherwise(F.lit(0)))
+
     def bit(one, v):
         return F.call_function("shiftleft", one, v.bitwiseAND(F.lit(63)).cast("int"))
 
     none = F.lit(0).cast("long")
     sketch = F.aggregate("w", none, lambda a, v: a.bitwiseXOR(bit(F.lit(1).cast("long"), v)))
     half = F.aggregate("w", none, lambda a, v: a.bitwiseXOR(bit(F.shiftright(v, 6).bitwiseAND(F.lit(1)), v)))
-    prefix = F.transform(F.slice("w", F.lit(1), (n - least.overlap(n) + 1).cast("int")), lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    prefix = F.transform(F.slice("w", F.lit(1), (n - least.overlap(n) + 1).cast("int")), posting)
     x = x.select("h1", "h2", F.struct(n.alias("n"), sketch.alias("sketch"), F.when(n > 64, half).otherwise(none).alias("sketch2"), prefix.alias("prefix")).alias("f"))
     x = x.groupBy("h1", "h2").agg(F.first("f").alias("f"))
     return materialise(x.join(firsts.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "f.*"), "line-sets")
@@ -131,10 +162,7 @@ def pairs_of(x: DataFrame, y: DataFrame, where, least: Jaccard) -> DataFrame:
 
 
 def cold_pairs(rows: DataFrame, least: Jaccard) -> DataFrame:
-    """Of two alike lines the one with fewer words has a common word so early that this bounds its place more tightly."""
-    early = rows.where((least.over + least.under) * F.col("place") <= (least.under - least.over) * F.col("n"))
-    shorter = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
-    return pairs_of(early, rows, shorter, least)
+    return pairs_of(rows, rows, F.col("x.id") < F.col("y.id"), least)
 
 
 def alike(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, least: Jaccard) -> DataFrame:
@@ -142,11 +170,8 @@ def alike(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, least: Jaccard)
     table of marks of fixed size keeps most others out of the shuffle."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts.select("id", "h1", "h2"), "id")
     keys = materialise(keys, "line-keys")
-    mark = F.call_function("shiftleft", F.lit(1), F.pmod(F.col("h1"), F.lit(6)).cast("int"))
-    marks = keys.select(cell_of(F.col("h1")).alias("cell"), mark.alias("m")).groupBy("cell").agg(F.bit_or("m").alias("n"))
-    table = cells(docs.sparkSession, marks, lambda n: n)
-    marked = (at(table, F.col("h1")) - ZERO).bitwiseAND(mark) != 0
-    found = lines_of(docs).where(marked).select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    seen = marked(marks(docs.sparkSession, keys, F.col("h1")), F.col("h1"))
+    found = lines_of(docs).where(seen).select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     found = found.join(keys, ["h1", "h2"]).select("id", "line", F.size(F.array_distinct(words(F.col("line")))).alias("n"))
     found = materialise(found, "line-words")
     a, b = (found.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
@@ -158,7 +183,7 @@ def later_lines(docs: DataFrame, sets: DataFrame, firsts: DataFrame, least: Jacc
     """id of each line that an alike one comes before; ids are in the order of the lines. In lists of more than HOT lines, these are held against the
     earliest first; only those that this doesn't remove, nor another list, are then held against all before them."""
     rows = postings(sets)
-    lists = rows.groupBy("word").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("leader"))
+    lists = rows.where(F.col("word") >= OFTEN).groupBy("word").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("leader"))
     lists = materialise(lists.where(F.col("many") > HOT).select("word", "leader"), "line-lists")
     if lists.isEmpty():
         pairs = materialise(cold_pairs(rows, least), "line-pairs")
@@ -187,8 +212,9 @@ def line_decisions(docs: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
     rows = materialise(lines_of(docs).select(*place, "h1", "h2"), "line-rows")
     firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("first")).select("h1", "h2", "first.*").orderBy(*place)
     firsts = materialise(firsts.withColumn("id", F.monotonically_increasing_id()), "line-firsts")
-    sets = line_sets(docs, firsts, rarity(docs), least)
-    gone = later_lines(docs, sets, firsts, least)
+    some = one_of_each(docs)
+    sets = line_sets(some, firsts, rarity(some), least)
+    gone = later_lines(some, sets, firsts, least)
     flags = firsts.join(gone.withColumn("near", F.lit(True)), "id", "left").select("h1", "h2", F.struct(*place).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     seen = rows.join(flags, ["h1", "h2"])
     why = F.when(~F.struct(*place).eqNullSafe(F.col("first")), 1).when(F.col("near"), 2).otherwise(0)
