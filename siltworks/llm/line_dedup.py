@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from .common import fresh, materialise
 
 #: Cells of a table of one byte each that the driver holds: 2 ** CELL_BITS, by the highest bits of a hash.
-CELL_BITS = 18
+CELL_BITS = 17
 #: Cells that one row brings to the driver: 2 ** ROW_BITS.
-ROW_BITS = 9
+ROW_BITS = 8
 #: The byte of a cell of value 0; values go up to 63.
 ZERO = 48
-#: In a posting list of more lines, they are held against its earliest line first.
-HOT = 128
+#: In a posting list of more lines, they are held against its earliest line first. Forming the pairs of shorter lists takes
+#: little: filters are compiled code, and of a line's candidates the earliest alone is verified where it is alike.
+HOT = 1024
 #: Marks posting words that may have so long a list, as their cells' words occur so often.
 OFTEN = 1 << 30
 
@@ -165,20 +166,35 @@ def cold_pairs(rows: DataFrame, least: Jaccard) -> DataFrame:
     return pairs_of(rows, rows, F.col("x.id") < F.col("y.id"), least)
 
 
-def alike(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, least: Jaccard) -> DataFrame:
-    """a, b of the pairs whose lines have the similarity, by their words. Lines are looked for in the texts again; a
+def line_words(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, line, n: the lines in pairs and how many distinct words they have. They are looked for in the texts again; a
     table of marks of fixed size keeps most others out of the shuffle."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts.select("id", "h1", "h2"), "id")
     keys = materialise(keys, "line-keys")
     seen = marked(marks(docs.sparkSession, keys, F.col("h1")), F.col("h1"))
     found = lines_of(docs).where(seen).select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     found = found.join(keys, ["h1", "h2"]).select("id", "line", F.size(F.array_distinct(words(F.col("line")))).alias("n"))
-    found = materialise(found, "line-words")
+    return materialise(found, "line-words")
+
+
+def alike(pairs: DataFrame, found: DataFrame, least: Jaccard) -> DataFrame:
+    """a, b of the pairs whose lines, of the table that line_words makes, have the similarity."""
     a, b = (found.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     common = F.size(F.array_intersect(words(F.col("line_a")), words(F.col("line_b"))))
     return pairs.join(a, "a").join(b, "b").where(least.shares(common, F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def later(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, least: Jaccard) -> DataFrame:
+    """id of each b of the pairs that is alike one of its a. The earliest is tried first: in a group of alike lines it mostly
+    is alike, and the others needn't be tried."""
+    found = line_words(pairs, firsts, docs)
+    tried = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    gone = materialise(alike(tried, found, least).select(F.col("b").alias("id")), "line-later")
+    rest = pairs.join(gone.select(F.col("id").alias("b")), "b", "left_anti").join(tried, ["a", "b"], "left_anti")
+    more = alike(rest, found, least).select(F.col("b").alias("id")).distinct()
+    return gone.unionByName(materialise(more, "line-later"))
+
+
 def later_lines(docs: DataFrame, sets: DataFrame, firsts: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
     """id of each line that an alike one comes before; ids are in the order of the lines. In lists of more than HOT lines, these are held against the
     earliest first; only those that this doesn't remove, nor another list, are then held against all before them."""
@@ -186,20 +202,18 @@ def later_lines(docs: DataFrame, sets: DataFrame, firsts: DataFrame, least: Jacc
     lists = rows.where(F.col("word") >= OFTEN).groupBy("word").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("leader"))
     lists = materialise(lists.where(F.col("many") > HOT).select("word", "leader"), "line-lists")
     if lists.isEmpty():
-        pairs = materialise(cold_pairs(rows, least), "line-pairs")
-        return materialise(alike(pairs, firsts, docs, least).select(F.col("b").alias("id")).distinct(), "line-later")
+        return later(materialise(cold_pairs(rows, least), "line-pairs"), firsts, docs, least)
     hot = materialise(rows.join(lists, "word"), "line-hot")
-    leaders = hot.where("id = leader")
-    led = pairs_of(leaders, hot, F.col("x.id") < F.col("y.id"), least)
+    led = pairs_of(hot.where("id = leader"), hot, F.col("x.id") < F.col("y.id"), least)
     cold = cold_pairs(rows.join(lists, "word", "left_anti"), least)
     pairs = materialise(cold.unionByName(led).distinct(), "line-pairs")
-    found = materialise(alike(pairs, firsts, docs, least).select(F.col("b").alias("id")).distinct(), "line-later")
+    found = later(pairs, firsts, docs, least)
     again = hot.join(found, "id", "left_anti")
     more = pairs_of(again, hot, F.col("x.id") > F.col("y.id"), least)
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "line-pairs")
     if more.isEmpty():
         return found
-    return found.unionByName(alike(more, firsts, docs, least).select(F.col("b").alias("id"))).distinct()
+    return found.unionByName(later(more, firsts, docs, least)).distinct()
 
 
 def line_decisions(docs: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
