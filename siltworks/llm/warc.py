@@ -19,8 +19,8 @@ from .common import Published, fresh, materialise, open_fs, shared_path
 ARCHIVE_BYTES = 1 << 30
 #: Bytes read, and bytes inflated, at a time.
 CHUNK = 1 << 18
-#: Largest block of headers that the reader takes.
-HEADERS = 1 << 20
+#: Digests that the reader can verify, and how long each is.
+DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -71,7 +71,10 @@ def members(source) -> Iterator[tuple[int, Iterator[bytes]]]:
             if not state["data"]:
                 state["data"] = source.read(CHUNK)
             size = len(state["data"])
-            out = unpacker.decompress(state["data"], CHUNK)
+            try:
+                out = unpacker.decompress(state["data"], CHUNK)
+            except zlib.error as e:
+                raise ValueError(f"not a gzip member: {e}") from e
             if not size and not out and not unpacker.eof:
                 raise ValueError("an archive ends within a record")
             state["data"] = unpacker.unused_data if unpacker.eof else unpacker.unconsumed_tail
@@ -89,7 +92,7 @@ def members(source) -> Iterator[tuple[int, Iterator[bytes]]]:
 
 
 class Framed:
-    """Takes bytes from chunks: head() up to an empty line, take(n) exactly n bytes in chunks."""
+    """Takes bytes from chunks: head() up to an empty line, take(n) exactly n bytes in chunks, ended() at the end."""
 
     def __init__(self, chunks: Iterator[bytes]):
         self.chunks, self.data = chunks, b""
@@ -101,9 +104,9 @@ class Framed:
         self.data += part
 
     def head(self) -> bytes:
-        while (end := self.data.find(b"\r\n\r\n")) < 0:
-            if len(self.data) > HEADERS:
-                raise ValueError("a record's headers don't end")
+        seen = 0
+        while (end := self.data.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(self.data) - 3)
             self.more()
         head, self.data = self.data[: end + 4], self.data[end + 4 :]
         return head
@@ -116,41 +119,112 @@ class Framed:
             n -= len(part)
             yield part
 
+    def ended(self) -> bool:
+        return not self.data and not any(self.chunks)
+
 
 def parsed(head: bytes) -> tuple[str, dict[str, str]]:
-    first, *lines = head.decode().rstrip("\r\n").split("\r\n")
-    return first, {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
+    """The first line, and the fields by their names in lower case; lines that begin with a blank go on with the field before."""
+    first, *lines = head.decode("utf-8", "replace").rstrip("\r\n").split("\r\n")
+    fields: dict[str, str] = {}
+    name = ""
+    for x in lines:
+        if x[:1] in (" ", "\t") and name:
+            fields[name] += " " + x.strip()
+            continue
+        name, colon, value = x.partition(":")
+        if not colon:
+            raise ValueError(f"a header without a name: {x[:40]!r}")
+        name = name.strip().lower()
+        fields[name] = value.strip()
+    return first, fields
+
+
+def whole_number(value: str | None) -> int | None:
+    return int(value) if value and value.isascii() and value.isdigit() else None
+
+
+class Digest:
+    """A digest as a header tells it, `algorithm:value` with the value in base 32 or hex, and what it should be."""
+
+    def __init__(self, told: str | None):
+        self.algorithm, _, self.value = (told or "").partition(":")
+        self.algorithm = self.algorithm.lower().replace("-", "")
+        self.known = self.algorithm in DIGESTS
+        self.hash = hashlib.new(self.algorithm) if self.known else None
+
+    def update(self, part: bytes) -> None:
+        if self.hash is not None:
+            self.hash.update(part)
+
+    def holds(self) -> bool | None:
+        """Null if there is none, or one of an algorithm that isn't known."""
+        if self.hash is None:
+            return None
+        if len(self.value) == 2 * DIGESTS[self.algorithm]:
+            return self.value.lower() == self.hash.hexdigest()
+        return self.value.upper().rstrip("=") == digest_of(self.hash).rstrip("=")
 
 
 def read_archive(source, payloads: bool = False) -> Iterator[dict]:
-    """The records of an archive, one after the other. Memory: two chunks and the headers (and a payload, if
-    payloads). digest_ok: block and payload have the digests that the headers tell (for a revisit, the block
-    alone; its payload is elsewhere). Bad framing raises ValueError."""
+    """The records of an archive of any writer, one after the other, of each kind. A block is as long as Content-Length tells; in
+    blocks of type application/http the payload begins after the HTTP head, if that ends within the block (if it
+    doesn't, there is no payload), others are all payload. payload_bytes and payload_digest (SHA-1) are of the
+    payload; a revisit's is elsewhere, so they are as its headers tell, null where they don't. digest_ok: the digests
+    told for block and payload hold (for a revisit, the block's alone); null if none can be verified. Memory: two
+    chunks and the headers (and a payload, if payloads). Bad framing, as by a length that isn't a number, an
+    archive that ends within a record, or bytes after a record in its member, raises ValueError."""
     for position, chunks in members(source):
         framed = Framed(chunks)
         version, fields = parsed(framed.head())
         if not version.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {version[:40]!r}")
-        head = framed.head()
-        block, payload, n, kept = hashlib.sha1(head), hashlib.sha1(), 0, []
-        for part in framed.take(int(fields["content-length"]) - len(head)):
+        length, kind = whole_number(fields.get("content-length")), fields.get("warc-type", "").lower()
+        if length is None:
+            raise ValueError("a record without a length")
+        in_head, head = fields.get("content-type", "").lower().startswith("application/http"), b""
+        block, payload = Digest(fields.get("warc-block-digest")), Digest(fields.get("warc-payload-digest"))
+        sha1, n, kept = hashlib.sha1(), 0, []
+        for part in framed.take(length):
             block.update(part)
+            if in_head:
+                seen = max(0, len(head) - 3)
+                head += part
+                if (end := head.find(b"\r\n\r\n", seen)) < 0:
+                    continue
+                head, part, in_head = head[: end + 4], head[end + 4 :], False
             payload.update(part)
+            sha1.update(part)
             n += len(part)
             if payloads:
                 kept.append(part)
-        if b"".join(framed.take(4)) != b"\r\n\r\n":
+        if b"".join(framed.take(4)) != b"\r\n\r\n" or not framed.ended():
             raise ValueError("a record doesn't end as it should")
-        revisit = fields["warc-type"] == "revisit"
-        told = fields["warc-payload-digest"].removeprefix("sha1:")
-        ok = fields["warc-block-digest"] == f"sha1:{digest_of(block)}" and (revisit or told == digest_of(payload))
-        page, first = fields.get("x-page"), fields.get("x-refers-to-page")
+        revisit = kind == "revisit"
+        held = [x for x in (block.holds(), None if revisit else payload.holds()) if x is not None]
+        if revisit:
+            told = fields.get("warc-payload-digest")
+            digest, n = told and told.removeprefix("sha1:"), http_length(head)
+        else:
+            digest = digest_of(sha1)
         yield {
-            "page_id": page and int(page), "payload_bytes": int(parsed(head)[1]["content-length"]) if revisit else n, "payload_digest": told if revisit else digest_of(payload),
-            "record_type": fields["warc-type"], "refers_to": first and int(first), "position": position, "digest_ok": ok, "url": fields.get("warc-target-uri"),
+            "page_id": whole_id(fields.get("x-page")), "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": whole_id(fields.get("x-refers-to-page")),
+            "position": position, "digest_ok": all(held) if held else None, "url": fields.get("warc-target-uri"), "record_id": fields.get("warc-record-id"),
         } | ({"payload": b"".join(kept)} if payloads else {})
 
 
+def http_length(head: bytes) -> int | None:
+    """What an HTTP head tells of the length of its body."""
+    try:
+        return whole_number(parsed(head)[1].get("content-length")) if head else None
+    except ValueError:
+        return None
+
+
+def whole_id(value: str | None) -> int | None:
+    return None if value is None or whole_number(value.removeprefix("-")) is None else int(value)
+
+
 def write_archives(pages: DataFrame, out: str, least: int = 0) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html; null html: no bytes), archives of ARCHIVE_BYTES
     or so from each partition. Of rows with equal payloads of least bytes or more, that with the smallest

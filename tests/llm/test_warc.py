@@ -56,3 +56,47 @@ def test_damage_is_seen():
 
 def test_empty(spark):
     assert warc_round_trip(pages(spark, [])).count() == 0
+
+
+def member(fields, block, tail=b"\r\n\r\n"):
+    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
+    return gzip.compress(head.encode() + block + tail)
+
+
+def test_records_of_other_writers():
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    body = b"body" * 200_000
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        ({"WARC-Type": "warcinfo", "Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        ({"WARC-Type": "request", "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\nHost: h\r\n\r\n"),
+        ({"WARC-Type": "response", "Content-Type": "application/http; msgtype=response", "WARC-Target-URI": "http://h/"}, http + body),
+        ({"WARC-Type": "response", "Content-Type": "application/http", "WARC-Payload-Digest": f"sha1:{sha}"}, http + body),
+        ({"WARC-Type": "response", "Content-Type": "application/http", "WARC-Payload-Digest": f"sha-256:{hashlib.sha256(body).hexdigest()}"}, http + body),
+        ({"WARC-Type": "response", "Content-Type": "application/http", "WARC-Payload-Digest": "crc9:00"}, http + body),
+        ({"WARC-Type": "resource", "Content-Type": "text/html", "WARC-Block-Digest": f"sha1:{'A' * 32}"}, body),
+        ({"WARC-Type": "metadata"}, b""),
+        ({"WARC-Type": "conversion", "Content-Type": "text/plain"}, b"\r\n\r\nplain"),
+        ({"WARC-Type": "revisit", "Content-Type": "application/http"}, b""),
+        ({"WARC-Type": "response", "Content-Type": "application/http"}, b"HTTP/1.1 200 OK"),
+        ({"WARC-Type": "continuation", "X-Folded": "a\r\n b"}, b"rest"),
+    ]
+    data = b"".join(member(f | {"Content-Length": len(b)}, b) for f, b in records)
+    got = list(read_archive(io.BytesIO(data), payloads=True))
+    assert [r["record_type"] for r in got] == [f["WARC-Type"] for f, _ in records]
+    assert [len(r["payload"]) for r in got] == [13, 0, 800_000, 800_000, 800_000, 800_000, 800_000, 0, 9, 0, 0, 4]
+    assert [r["digest_ok"] for r in got] == [None, None, None, True, True, None, False] + [None] * 5
+    assert got[2]["payload_digest"] == sha and got[9]["payload_bytes"] is None and got[2]["page_id"] is None
+
+
+@pytest.mark.parametrize("length, tail", [("-5", b"\r\n\r\n"), ("x", b"\r\n\r\n"), ("", b"\r\n\r\n"), ("3", b"\r\n\r\n"), ("90", b"\r\n\r\n"), ("4", b""), ("4", b"\r\n\r\nWARC/1.0\r\n")])
+def test_bad_framing_raises(length, tail):
+    with pytest.raises(ValueError):
+        list(read_archive(io.BytesIO(member({"WARC-Type": "resource", "Content-Length": length}, b"data", tail))))
+    with pytest.raises(ValueError):
+        list(read_archive(io.BytesIO(b"no gzip at all")))
+
+
+def test_long_url_comes_back(spark):
+    url = "http://h/" + "a" * 3_000_000
+    assert [r["url"] for r in read_archive(io.BytesIO(record(1, url, b"x", None, None)))] == [url]
