@@ -7,13 +7,21 @@ from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, n_bytes long, ratio double, n_chunks long, odd_chunks long"
+    "base_failed boolean, within boolean, n_bytes long, ratio double, n_chunks long, odd_chunks long"
 )
+#: Ratios are counted in steps of 1 / STEPS, up to MOST steps, for the corpus's own bands.
+STEPS, MOST = 512, 1 << 13
+#: Classes of length, two for each power of 2.
+CLASSES = 64
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 
@@ -25,7 +33,11 @@ class Bands:
     noise, so the bands widen there. chunk: bytes of a chunk, less than a usual document has. What is left
     after the full chunks is judged too, as the last chunk bytes of the text, and a shorter text is one chunk
     with the band of its length. A document also goes if more than odd_share of its chunks are outside
-    chunk_low..chunk_high."""
+    chunk_low..chunk_high.
+
+    These bands hold everywhere. Within them the corpus has its own, for each class of length with `least` documents or more that the
+    rules above keep: the median ratio of all of these, give or take `spread` times their median deviation from it (scaled to be that of a
+    normal distribution), or `margin` of the median if that is more."""
 
     lengths: tuple[int, ...] = (64, 128, 256, 512, 1024, 4096, 16384)
     low: tuple[float, ...] = (0.0, 0.6, 0.85, 1.05, 1.2, 1.4, 1.5, 1.5)
@@ -35,6 +47,9 @@ class Bands:
     chunk_high: float = 4.0
     odd_share: float = 0.3
     level: int = 3
+    spread: float = 6.0
+    margin: float = 0.05
+    least: int = 100
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -65,7 +80,7 @@ def base_counts(text: str, data: bytes) -> tuple[int, int, int, int, int]:
 
 
 def verdict(data: bytes, packer, bands: Bands) -> tuple[bool, float, int, int]:
-    """Whether the bands keep it, its ratio, its chunks (every byte is in one), those outside the band."""
+    """Whether it is within the bands that hold everywhere, its ratio, its chunks (every byte is in one), those outside the band."""
     n = len(data)
     ratio = n / len(packer.compress(data))
     k = bisect_left(bands.lengths, n)
@@ -81,11 +96,46 @@ def verdict(data: bytes, packer, bands: Bands) -> tuple[bool, float, int, int]:
     return whole and odd <= bands.odd_share * chunks, ratio, chunks, odd
 
 
-def compression_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """A row per row of docs (doc_id, text); other columns aren't read. Null and empty texts have no words,
-    fail the base rule and have ratio 0. Repeated rows give repeated results. Every text is read whole; a
-    task holds a batch of texts at most. No shuffle."""
+def length_class():
+    return F.floor(2 * F.log2("n_bytes")).cast("int")
+
+
+def middle(values: np.ndarray, counts: np.ndarray) -> float:
+    """The median of values that occur so often."""
+    order = np.argsort(values, kind="stable")
+    return float(values[order][np.searchsorted(np.cumsum(counts[order]), (counts.sum() + 1) // 2)])
 
+
+def corpus_bands(measured: DataFrame, bands: Bands) -> tuple[list[float], list[float]]:
+    """The least and the greatest ratio in each class of length, from counts over all documents that are measured and kept so far. The
+    driver gets CLASSES * MOST counts at most."""
+    step = F.least(F.floor(F.col("ratio") * STEPS), F.lit(MOST - 1)).cast("int").alias("step")
+    counts = measured.where("within AND NOT base_failed").groupBy(length_class().alias("k"), step).count().toPandas()
+    low, high = [0.0] * CLASSES, [float("inf")] * CLASSES
+    for k, part in counts.groupby("k"):
+        values, n = (part["step"].to_numpy() + 0.5) / STEPS, part["count"].to_numpy()
+        if n.sum() >= bands.least:
+            at = middle(values, n)
+            room = max(bands.spread * 1.4826 * middle(np.abs(values - at), n), bands.margin * at)
+            low[int(k)], high[int(k)] = at - room, at + room
+    return low, high
+
+
+def compression_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """A row per row of docs (doc_id, text): the base counts and rule, kept (by both), within (the bands that hold everywhere), n_bytes, ratio, n_chunks,
+    odd_chunks, band_low, band_high; other columns aren't read. Null and empty texts have no words,
+    fail the base rule and have ratio 0. Repeated rows give repeated results, and count as often as they occur. Every text is read and compressed once and whole; a
+    task holds a batch of texts at most. What is measured is written, a few numbers a document, and counts over
+    all of it give the corpus's own bands. No text is shuffled."""
+    measured = materialise(measures(docs, bands), "compression")
+    low, high = corpus_bands(measured, bands)
+    k = F.coalesce(length_class(), F.lit(0))
+    out = measured.withColumns({"band_low": F.get(F.array(*map(F.lit, low)), k), "band_high": F.get(F.array(*map(F.lit, high)), k)})
+    kept = ~F.col("base_failed") & F.col("within") & F.col("ratio").between(F.col("band_low"), F.col("band_high"))
+    return out.select(*out.columns[:7], kept.alias("kept"), *out.columns[7:])
+
+
+def measures(docs: DataFrame, bands: Bands) -> DataFrame:
     def run(batches):
         import zstandard
 
@@ -97,8 +147,8 @@ def compression_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
                 data = text.encode()
                 base = base_counts(text, data)
                 failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-                kept, ratio, chunks, odd = verdict(data, packer, bands) if data else (False, 0.0, 0, 0)
-                rows.append((doc, *base, failed, kept and not failed, len(data), ratio, chunks, odd))
+                within, ratio, chunks, odd = verdict(data, packer, bands) if data else (False, 0.0, 0, 0)
+                rows.append((doc, *base, failed, within, len(data), ratio, chunks, odd))
             cols = list(zip(*rows)) if rows else [[]] * 12
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             names = [x.split()[0] for x in SCHEMA.split(", ")]

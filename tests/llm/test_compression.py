@@ -59,3 +59,24 @@ def test_odd_rows(spark):
     assert by[10].n_words == 60_000
     assert compression_quality(cases.empty(spark)).count() == 0
     assert repeated_words([b"a"] * 5) == 5
+
+
+def test_the_corpus_has_bands_of_its_own(spark):
+    """Symbols within otherwise clean prose are no case for the bands that hold everywhere, but far from the corpus."""
+    rng = random.Random(5)
+    clean = [cases.prose(200 + i, 400 + i % 40, 3000) for i in range(300)]
+    odd = [" ".join(w + rng.choice(["***", "%%%", "$$$", "&&&"]) for w in x.split()[:250]) for x in clean[:8]]
+    d = spark.createDataFrame(list(enumerate(clean + odd)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in compression_quality(d).collect()}
+    assert all(r.within and not r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(308)] == [True] * 300 + [False] * 8
+    few = compression_quality(d.where("doc_id >= 250")).collect()
+    assert all(r.kept for r in few)  # fewer than `least` have no bands of their own
+    assert all(r.kept for r in compression_quality(d, Bands(spread=1000)).collect())
+
+
+def test_documents_rejected_are_junk(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = [r for r in compression_quality(d).collect() if not r.base_failed]
+    gone = [r for r in got if not r.kept]
+    assert 100 < len(gone) < 0.05 * len(got) and sum(5 * r.n_symbols >= r.n_words for r in gone) > 0.95 * len(gone)
