@@ -21,12 +21,19 @@ MAX_N = 3
 SAMPLE = 3000
 #: Characters whose n-grams are counted at a time.
 PIECE = 1 << 20
+#: Characters that may be letters; numerals such as fractions are among them.
 LETTER = re.compile(r"[^\W\d_]")
 GAPS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
+#: A text whose main language has less than this share of its n-grams is rejected by with_language: it is in no one language.
+MAIN_SHARE = 0.5
 COUNTS = "lang string, cell int, n long"
 
 
+def has_letter(text: str) -> bool:
+    return any(x.group().isalpha() for x in LETTER.finditer(text))
+
+
 def cells(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the n-grams of a text (words in lower case with a blank at each end), and how often each occurs."""
     found, counts = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -55,44 +62,47 @@ class Model:
     langs: tuple[str, ...]
     p: np.ndarray
 
-    def mixture(self, c: np.ndarray, n: np.ndarray, among: list[int], rounds: int = 40) -> tuple[np.ndarray, float]:
-        """Shares of these languages that make the document most likely, and its log likelihood then."""
-        p = self.p[c][:, among]
-        share = np.full(len(among), 1 / len(among))
-        total = n.sum()
-        if len(among) == 1:
-            return share, float(n @ np.log(p[:, 0]))
+    def mixture(self, p: np.ndarray, n: np.ndarray, share: np.ndarray, least: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+        """Shares of the languages, columns of p, that make the document most likely, from these shares on, and
+        its log likelihood then. Ends when a round adds less than `least` to it."""
         before = -np.inf
         for _ in range(rounds):
             joint = p * share
             mass = joint.sum(axis=1)
             now = float(n @ np.log(mass))
-            share = (joint * (n / mass)[:, None]).sum(axis=0) / total
-            if now - before < 1e-4 * total:
+            if now - before < least:
                 break
             before = now
+            share = (n / mass) @ joint / n.sum()
         return share, now
 
     def predict(self, text: str | None, penalty: float = 1.0) -> tuple[str, float, list[str], list[float]]:
-        """The main language, its share, and the set with all shares, largest first. The set grows by the
-        language that adds most likelihood while that is more than penalty * MAX_N * log(n-grams): n-grams of
-        one place overlap, so each tells less than an independent one would. Null and letterless: UNKNOWN, 0."""
-        if not text or not self.langs or not LETTER.search(text):
+        """The main language, its share, and the set with all shares, largest first. The set begins with the
+        likeliest language; then, of all that aren't in it, that comes in which adds most likelihood, as long as one adds more than
+        penalty * MAX_N * log(n-grams) / 2: n-grams of one place overlap, so each tells less than an independent one
+        would. Likelihood is concave in the shares, so its slope towards a language bounds what it can add, and
+        those that can't pay aren't tried. Null and letterless: UNKNOWN, 0."""
+        if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0, [], []
         c, n = cells(text)
-        cost = penalty * MAX_N * np.log(max(n.sum(), 2)) / 2
-        alone = n @ np.log(self.p[c])
+        total = int(n.sum())
+        cost = penalty * MAX_N * np.log(max(total, 2)) / 2
+        p = self.p[c]
+        alone = n @ np.log(p)
         among = [int(np.argmax(alone))]
         share, best = np.ones(1), float(alone[among[0]])
-        if len(self.langs) > 1:
-            whole, _ = self.mixture(c, n, list(range(len(self.langs))), rounds=8)
-            for k in np.argsort(-whole, kind="stable"):
-                if k in among or whole[k] < 0.02:
-                    continue
-                tried, now = self.mixture(c, n, [*among, int(k)])
-                if now - best <= cost:
-                    break
-                among, share, best = [*among, int(k)], tried, now
+        while len(among) < len(self.langs):
+            slope = (n / (p[:, among] @ share)) @ p - total
+            tried = []
+            for k in np.flatnonzero(slope > cost):
+                if k not in among:
+                    first = np.append(share * 0.9, 0.1)
+                    found, now = self.mixture(p[:, [*among, k]], n, first, cost / 100)
+                    tried.append((now, -int(k), found))
+            if not tried or (top := max(tried, key=lambda x: x[:2]))[0] - best <= cost:
+                break
+            best, k, share = top[0], -top[1], top[2]
+            among = [*among, k]
         order = np.argsort(-share, kind="stable")
         return self.langs[among[order[0]]], float(min(1.0, share[order[0]])), [self.langs[among[i]] for i in order], [float(share[i]) for i in order]
 
@@ -159,8 +169,10 @@ def language_mixture(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return x.select("doc_id", "held_out", *(F.col(f"{found}.{c}").alias(c) for c in ("lang_pred", "score", "langs", "shares")))
 
 
-def with_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs whose text has a language, with all their columns; `und` goes."""
+def with_language(docs: DataFrame, model: Model | None = None, main_share: float = MAIN_SHARE) -> DataFrame:
+    """The rows of docs whose text has a language, with all their columns: null texts, texts without a letter and texts
+    whose main language has a share below main_share go, as do all if nothing was learned. Repeated rows, and rows with a null doc_id, are judged like others."""
     predict = predictor(docs, model := model or learn(docs))
     (found,) = fresh(docs, "found")
-    return docs.withColumn(found, predict(F.col("text"))).where(F.col(f"{found}.lang_pred") != UNKNOWN).select(*docs.columns)
+    kept = (F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= main_share)
+    return docs.withColumn(found, predict(F.col("text"))).where(kept).select(*docs.columns)

@@ -58,3 +58,15 @@ def test_odd_rows(spark, tmp_path):
     assert assign_shards(cases.empty(spark)).count() == 0
     write_shards(d, f"{tmp_path}/out", 4)
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(cases.rows())
+
+
+def test_documents_that_fit_stay_together(spark):
+    for sf in ("0.01", "0.1"):
+        d = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+        text = {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
+        sizes, groups = Counter(), defaultdict(set)
+        for r in assign_shards(d).collect():
+            sizes[r.shard] += r.size
+            groups[text[r.doc_id] or ""].add(r.shard)
+        assert all(len(g) == 1 for g in groups.values())
+        assert len(sizes) == 16 and max(sizes.values()) < 1.01 * sum(sizes.values()) / 16 and min(sizes.values()) > 0.99 * sum(sizes.values()) / 16
