@@ -44,36 +44,68 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
-def distance(a: str, b: str) -> int:
-    """Levenshtein distance in code points, a column of the table at a time as the bits of two long integers (Myers,
-    "A Fast Bit-Vector Algorithm for Approximate String Matching", 1999; Hyyrö 2003): about len(a) * len(b) / 64 steps."""
+def distance(a: str, b: str, room: int | None = None) -> int | None:
+    """Levenshtein distance in code points, None if it is more than room. What is looked at is a band around the table's
+    diagonal, a narrow one first: near texts differ little, so the time is about that of reading them."""
     k = common_prefix(a, b)
     a, b = a[k:], b[k:]
     k = common_prefix(a[::-1], b[::-1])
     a, b = a[: len(a) - k], b[: len(b) - k]
-    if not a or not b:
-        return len(a) + len(b)
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    mask, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
-    up, down = mask, 0
-    for c in b:
-        same = places.get(c, 0)
-        vertical = same | down
-        across = (((same & up) + up) ^ up) | same
-        more = (down | ~(across | up)) & mask
-        less = up & across
-        score += bool(more & top) - bool(less & top)
-        more = (more << 1 | 1) & mask
-        up = ((less << 1) | ~(vertical | more)) & mask
-        down = more & vertical
-    return score
+    if len(a) > len(b):
+        a, b = b, a
+    room = len(b) if room is None else min(room, len(b))
+    if len(b) - len(a) > room:
+        return None
+    if not a:
+        return len(b)
+    k = max(32, len(b) - len(a))
+    while k < room:
+        if (found := banded(a, b, k)) is not None:
+            return found
+        k *= 8
+    return banded(a, b, room)
+
+
+def banded(a: str, b: str, k: int) -> int | None:
+    """The distance if it is k or less (Myers, "A Fast Bit-Vector Algorithm for Approximate String Matching", 1999; Hyyrö, "A
+    Bit-Vector Algorithm for Computing Levenshtein and Damerau Edit Distances", 2003): of each column the 2 * k + 1 rows around the
+    diagonal, whose steps up and down from row to row are the bits of two integers. len(a) <= len(b) <= len(a) + k."""
+    rows, width = len(a), 2 * k + 1
+    mask, last = (1 << width) - 1, 1 << width - 1
+    up, down = mask ^ ((1 << k) - 1), 0
+    score = min(k, rows)
+    run = max(1024, width)
+    column = 0
+    for start in range(0, len(b), run):
+        low = max(0, start - k)
+        places: dict[str, int] = {}
+        for i, c in enumerate(a[low : start + run + k]):
+            places[c] = places.get(c, 0) | 1 << i
+        for c in b[start : start + run]:
+            shift = column - k - low
+            column += 1
+            same = places.get(c, 0)
+            same = (same >> shift if shift >= 0 else same << -shift) & mask
+            diagonal = ((((same & up) + up) ^ up) | same | down) & mask
+            more = (down | ~(diagonal | up)) & mask
+            less = diagonal & up
+            if column + k <= rows:
+                score += not diagonal & last
+            else:
+                at = rows - column + k
+                score += (more >> at & 1) - (less >> at & 1)
+                if score - (len(b) - column) > k:
+                    return None
+            diagonal >>= 1
+            up = (less | ~(diagonal | more)) & mask
+            down = diagonal & more
+    return score if score <= k else None
 
 
 @F.pandas_udf(T.IntegerType())
-def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y) for x, y in zip(a, b)], dtype="int32")
+def edit_distance(a: pd.Series, b: pd.Series, room: pd.Series) -> pd.Series:
+    """Null where it is more than room."""
+    return pd.Series([distance(x, y, int(r)) for x, y, r in zip(a, b, room)], dtype="Int32")
 
 
 def combined(edit: Column, words: Column) -> Column:

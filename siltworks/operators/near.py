@@ -34,11 +34,11 @@ def pair_counts(files: DataFrame, keys: list[str]) -> DataFrame:
 
 def text_candidates(files: DataFrame, threshold: float) -> DataFrame:
     """file1, file2, words: pairs of a block (band, extension) whose word sets' Jaccard similarity, words, may reach
-    the threshold. As the edit similarity is 1 at most, words is (threshold - 0.6) / 0.4 at least: so two files
+    the threshold. Words are told apart by 64-bit hashes. As the edit similarity is 1 at most, words is (threshold - 0.6) / 0.4 at least: so two files
     share a word among the rarest of each, and only such pairs are formed. Files without words match among
     themselves alone (words 1). With a threshold of 0.6 or less all pairs of a block are formed."""
     least = (threshold - text.ALPHA) / text.BETA
-    rows = files.select("path", "band", "extension", text.word_set(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    rows = files.select("path", "band", "extension", F.transform(text.word_set(F.col("text")), lambda x: F.xxhash64(x)).alias("w")).withColumn("n", F.size("w"))
     rows = materialise(rows, "near-words")
     if least <= 0:
         pairs = blocked_pairs(rows, ["band", "extension"], ["w"])
@@ -47,16 +47,20 @@ def text_candidates(files: DataFrame, threshold: float) -> DataFrame:
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     ranked = words.join(counts, "word").groupBy("path", "band", "extension", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
     length = F.col("n") - F.ceil(F.lit(least) * F.col("n") - EPS) + 1
-    prefix = ranked.select("path", "band", "extension", "n", F.posexplode(F.slice("w", F.lit(1), length.cast("int"))).alias("place", "r")).select("path", "band", "extension", "n", "place", F.xxhash64("r.word").alias("word"))
+    prefix = ranked.select("path", "band", "extension", "n", F.posexplode(F.slice("w", F.lit(1), length.cast("int"))).alias("place", "r"))
+    # A word that one file alone has makes no pair.
+    prefix = materialise(prefix.where("r.df > 1").select("path", "band", "extension", "n", "place", F.col("r.word").alias("word")), "near-prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
     need = F.lit(least / (1 + least)) * (F.col("a.n") + F.col("b.n")) - EPS
     left = F.least("a.place", "b.place") + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     same = (F.col("a.word") == F.col("b.word")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.extension") == F.col("b.extension")) & (F.col("a.path") < F.col("b.path"))
     close = (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - EPS) & (left >= need)
     pairs = a.join(b, same & close).select(F.col("a.path").alias("file1"), F.col("b.path").alias("file2")).distinct()
-    sets1, sets2 = rows.select(F.col("path").alias("file1"), F.col("w").alias("w1")), rows.select(F.col("path").alias("file2"), F.col("w").alias("w2"))
-    found = pairs.join(sets1, "file1").join(sets2, "file2").select("file1", "file2", text.jaccard(F.col("w1"), F.col("w2")).alias("words"))
-    found = found.where(F.col("words") >= least - EPS)
+    sets1, sets2 = rows.select(F.col("path").alias("file1"), F.col("w").alias("w1"), F.col("n").alias("n1")), rows.select(F.col("path").alias("file2"), F.col("w").alias("w2"), F.col("n").alias("n2"))
+    common, both = F.size(F.array_intersect("w1", "w2")), F.col("n1") + F.col("n2")
+    # The sets are compared once to rule pairs out; what is left is little.
+    found = pairs.join(sets1, "file1").join(sets2, "file2").where(common * (1 + least) >= least * both - EPS)
+    found = found.select("file1", "file2", (common / (both - common)).alias("words"))
     wordless = blocked_pairs(rows.where("n = 0"), ["band", "extension"], []).select("file1", "file2", F.lit(1.0).alias("words"))
     return found.unionByName(wordless)
 
@@ -68,7 +72,7 @@ def text_pairs(files: DataFrame, options: NearOptions = NearOptions()) -> DataFr
     its lengths: Python's long integers do 64 steps at a time, which Spark's function, at seconds for a pair of 20,000 letters, doesn't."""
     t = options.threshold
     files = files.where(F.col("extension").isin(*options.text_extensions) & (F.col("size") <= options.max_text_bytes))
-    files = with_bands(files, TEXT_TOLERANCE).withColumn("text", text.normalise(F.col("text")))
+    files = materialise(with_bands(files, TEXT_TOLERANCE).select("path", "band", "extension", text.normalise(F.col("text")).alias("text")), "near-texts")
     pairs = text_candidates(files, t)
     a, b = files.select(F.col("path").alias("file1"), F.col("text").alias("x")), files.select(F.col("path").alias("file2"), F.col("text").alias("y"))
     both = pairs.join(a, "file1").join(b, "file2")
@@ -77,8 +81,10 @@ def text_pairs(files: DataFrame, options: NearOptions = NearOptions()) -> DataFr
     room = F.floor(longest * (1 - (F.lit(t) - text.BETA * F.col("words")) / text.ALPHA) + EPS)
     both = both.where((F.abs(n - m) <= room) | (longest == 0))
     count = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.repartition(4 * count, "file1", "file2").withColumn("distance", text.edit_distance("x", "y"))
-    similar = text.combined(text.edit_similarity(F.col("distance"), n, m), F.col("words"))
+    # Written, so that no filter after it makes Python work out a distance twice.
+    both = both.repartition(4 * count, "file1", "file2").select("file1", "file2", "words", n.alias("n"), m.alias("m"), text.edit_distance("x", "y", room).alias("distance"))
+    both = materialise(both, "near-distances").where("distance IS NOT NULL")
+    similar = text.combined(text.edit_similarity(F.col("distance"), F.col("n"), F.col("m")), F.col("words"))
     return both.select("file1", "file2", similar.alias("similarity"), F.lit("combined").alias("algorithm")).where(F.col("similarity") >= t - EPS)
 
 
@@ -99,6 +105,19 @@ def media_pairs(files: DataFrame, kind: str, threshold: float = 0.85) -> DataFra
     return pairs.select("file1", "file2", similar.alias("similarity"), F.lit(f"{kind}-fingerprint").alias("algorithm"), F.lit(kind).alias("media_type")).where(F.col("similarity") >= threshold)
 
 
+def hamming_search(queries: DataFrame, rows: DataFrame, radius: int, block: int = 4096) -> DataFrame:
+    """query_id, id, distance of the queries (query_id, query: a long) and rows (id, packed: a long) that differ in radius bits
+    at most. All rows are gone through for each block of queries, which are block or so and broadcast."""
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for k in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        distance = bits.packed_hamming(F.col("packed"), F.col("query"))
+        part = rows.join(F.broadcast(some), distance <= radius).select("query_id", "id", distance.alias("distance"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def near_members(pairs: DataFrame, kind: str) -> DataFrame:
     """group_root, type, path, similarity, max_edge_similarity, n_files, avg_edge_similarity: a row for each file in a group, that
     is a connected component of the pairs. similarity is 1 for each member, as groups are reported; the other two
@@ -115,7 +134,8 @@ def near_members(pairs: DataFrame, kind: str) -> DataFrame:
 
 
 def near_groups(members: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """id, type, files, avg_similarity, avg_edge_similarity: a row for each group, for reports. Files carry the root they came
+    """id, type, files, avg_similarity, avg_edge_similarity: a row for each group, for reports, numbered by similarity and root; the files
+    aren't there when groups are numbered. Files carry the root they came
     from, if files (path, source_root) are given."""
     if files is not None:
         members = members.join(files.select("path", "source_root"), "path", "left")
@@ -124,8 +144,9 @@ def near_groups(members: DataFrame, files: DataFrame | None = None) -> DataFrame
     rows = members.groupBy("type", "group_root").agg(
         F.array_sort(F.collect_list(F.struct("path", "similarity", "source_root", "max_edge_similarity"))).alias("files"), F.avg("similarity").alias("avg_similarity"), F.first("avg_edge_similarity").alias("avg_edge_similarity")
     )
-    number = F.row_number().over(Window.partitionBy("type").orderBy("group_root"))
-    return rows.select(F.concat_ws("-", "type", number.cast("string")).alias("id"), "type", "files", "avg_similarity", "avg_edge_similarity")
+    number = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("avg_similarity"), "group_root"))
+    numbers = members.groupBy("type", "group_root").agg(F.avg("similarity").alias("avg_similarity")).select("type", "group_root", F.concat_ws("-", "type", number.cast("string")).alias("id"))
+    return rows.join(numbers, ["type", "group_root"]).select("id", "type", "files", "avg_similarity", "avg_edge_similarity")
 
 
 def near_summary(members: DataFrame) -> DataFrame:

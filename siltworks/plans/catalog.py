@@ -12,9 +12,6 @@ from ..sources import corpus
 from ..streaming import dedupe as streaming
 from ..tables import materialise, shared_path
 
-LANGS = (".en", ".de", ".fr", ".es")
-TEXT = NearOptions(text_extensions=LANGS)
-
 # What documents are as files, in SQL.
 FILES = """
     files AS (SELECT '/' || source || '/' || lang || '/' || doc_id || '.' || lang AS path, doc_id || '.' || lang AS name,
@@ -129,11 +126,10 @@ def content_hash_all(spark, sf_dir):
     return d.select("doc_id", *(hashing.content_hash(F.col("text"), a).alias(a) for a in ("sha256", "md5", "sha1")))
 
 
-@query("""SELECT doc_id, CASE WHEN octet_length(encode(text)) = length(text) THEN sha256(substring(text, 1, 4096)) END AS quick FROM documents""")
+@query("SELECT doc_id, sha256(unhex(substring(hex(encode(text)), 1, 8192))) AS quick FROM documents")
 def quick_hash(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ascii_only = F.octet_length("text") == F.length("text")
-    return d.select("doc_id", F.when(ascii_only, hashing.quick_hash(F.col("text"))).alias("quick"))
+    return d.select("doc_id", hashing.quick_hash(F.col("text")).alias("quick"))
 
 
 @query(f"WITH {GROUPS} SELECT * FROM dup")
@@ -263,9 +259,12 @@ def word_jaccard_pairs(spark, sf_dir):
     return near.text_candidates(d, 0.85).select("file1", "file2", F.round("words", 6).alias("words"))
 
 
-ASCII = f"""{FILES.replace("FROM documents)", "FROM documents WHERE octet_length(encode(text)) = length(text))")}"""
-NEAR = rf"""{ASCII}, {bands_sql('1.2')}, {JACCARD},
-    flat AS (SELECT file1, file2, words, trim(regexp_replace(x, '\s+', ' ', 'g')) AS x, trim(regexp_replace(y, '\s+', ' ', 'g')) AS y FROM scored WHERE words >= 0.625 - 1e-9),
+# The SQL engine measures edit distances in bytes: the letters beyond ASCII that the documents have become control characters first.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+CONTROLS = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 32)][: len(LETTERS)])
+REST = f"""{GROUPS}, rest AS (SELECT * FROM files WHERE content_hash NOT IN (SELECT content_hash FROM dup))"""
+NEAR = rf"""{REST}, {bands_sql('1.2', 'rest')}, {JACCARD},
+    flat AS (SELECT file1, file2, words, translate(trim(regexp_replace(x, '\s+', ' ', 'g')), '{LETTERS}', {CONTROLS}) AS x, translate(trim(regexp_replace(y, '\s+', ' ', 'g')), '{LETTERS}', {CONTROLS}) AS y FROM scored WHERE words >= 0.625 - 1e-9),
     near AS (SELECT file1, file2, 0.6 * (1 - CAST(levenshtein(x, y) AS DOUBLE) / greatest(length(x), length(y))) + 0.4 * words AS similarity FROM flat),
     pairs AS (SELECT * FROM near WHERE similarity >= 0.85 - 1e-9)"""
 REACH = f"""{NEAR}, edges AS (SELECT file1 AS a, file2 AS b FROM pairs UNION SELECT file2, file1 FROM pairs),
@@ -277,38 +276,39 @@ REACH = f"""{NEAR}, edges AS (SELECT file1 AS a, file2 AS b FROM pairs UNION SEL
     sized AS (SELECT group_root, count(*) AS n_files FROM labels GROUP BY group_root)"""
 
 
-def ascii_files(spark, sf_dir):
-    return corpus.documents_as_files(spark, sf_dir, True).where(F.octet_length("text") == F.length("text"))
+def document_pairs(spark, sf_dir):
+    """As in a run: without the members of exact groups; the extensions are those that the table has."""
+    left = exact.without_duplicates(corpus.documents_as_files(spark, sf_dir, True).withColumn("content_hash", F.sha2("text", 256)))
+    extensions = tuple(r.extension for r in left.select("extension").distinct().collect() if r.extension)
+    return near.text_pairs(left, NearOptions(text_extensions=extensions))
+
+
+def document_members(spark, sf_dir):
+    return near.near_members(materialise(document_pairs(spark, sf_dir), "near-pairs"), "text")
 
 
 @query(f"WITH RECURSIVE {NEAR} SELECT file1, file2, round(similarity, 6) AS similarity, 'combined' AS algorithm FROM pairs")
-def near_text_pairs_ascii(spark, sf_dir):
-    return near.text_pairs(ascii_files(spark, sf_dir), TEXT).withColumn("similarity", F.round("similarity", 6))
+def near_text_pairs(spark, sf_dir):
+    return document_pairs(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH RECURSIVE {REACH} SELECT group_root, 'text' AS type, path, CAST(1.0 AS DOUBLE) AS similarity, round(best, 6) AS max_edge_similarity, n_files, round(edge, 6) AS avg_edge_similarity
     FROM labels JOIN best USING (path) JOIN edge USING (group_root) JOIN sized USING (group_root)""")
-def near_text_groups_ascii(spark, sf_dir):
-    members = near.near_members(materialise(near.text_pairs(ascii_files(spark, sf_dir), TEXT), "near-pairs"), "text")
-    return members.withColumns({c: F.round(c, 6) for c in ("max_edge_similarity", "avg_edge_similarity")})
+def near_text_groups(spark, sf_dir):
+    return document_members(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("max_edge_similarity", "avg_edge_similarity")})
 
 
 @query(f"WITH RECURSIVE {REACH} SELECT 'text' AS type, count(DISTINCT group_root) AS n_groups, count(*) AS n_files FROM labels HAVING count(*) > 0")
 def near_summary(spark, sf_dir):
-    return near.near_summary(near.near_members(materialise(near.text_pairs(ascii_files(spark, sf_dir), TEXT), "near-pairs"), "text"))
-
+    return near.near_summary(document_members(spark, sf_dir))
 
-@query()
-def near_text_pairs(spark, sf_dir):
-    """Pairs in all languages; SQL engines measure edit distances in bytes, so there is nothing to compare with."""
-    left = exact.without_duplicates(corpus.documents_as_files(spark, sf_dir, True).withColumn("content_hash", F.sha2("text", 256)))
-    return near.text_pairs(left, TEXT)
 
-
-@query()
+@query(f"""WITH RECURSIVE {REACH} SELECT 'text-' || row_number() OVER (ORDER BY group_root) AS id, 'text' AS type, string_agg(path, ' ' ORDER BY path) AS paths, count(*) AS n_files,
+    CAST(1.0 AS DOUBLE) AS avg_similarity, round(min(edge), 6) AS avg_edge_similarity FROM labels JOIN edge USING (group_root) GROUP BY group_root""")
 def near_groups(spark, sf_dir):
-    members = near.near_members(materialise(near_text_pairs(spark, sf_dir), "near-pairs"), "text")
-    return near.near_groups(members, documents(spark, sf_dir))
+    found = near.near_groups(document_members(spark, sf_dir), documents(spark, sf_dir))
+    paths_ = F.array_join(F.transform("files", lambda f: f["path"]), " ")
+    return found.select("id", "type", paths_.alias("paths"), F.size("files").cast("bigint").alias("n_files"), "avg_similarity", F.round("avg_edge_similarity", 6).alias("avg_edge_similarity"))
 
 
 # Hash cache
@@ -369,14 +369,50 @@ def dhash_bits(spark, sf_dir):
 
 @query(f"""WITH {DHASH}, q AS (SELECT * FROM dh WHERE vec_id % 50 = 0)
     SELECT q.vec_id AS query_id, dh.vec_id AS vec_id, CAST(hamming(q.bits, dh.bits) AS INTEGER) AS distance,
-           round(1 - hamming(q.bits, dh.bits) / 56.0, 6) AS similarity FROM q JOIN dh ON q.vec_id <> dh.vec_id AND q.bits[1:4] = dh.bits[1:4]""")
+           round(1 - hamming(q.bits, dh.bits) / 56.0, 6) AS similarity FROM q JOIN dh ON q.vec_id <> dh.vec_id AND hamming(q.bits, dh.bits) <= 20""")
 def hash_hamming_pairs(spark, sf_dir):
-    """Every fiftieth image against those whose hash begins alike."""
-    d = grids(spark, sf_dir).select("vec_id", bits.difference_hash(F.col("g"), 8, 8).alias("bits")).withColumn("block", F.substring("bits", 1, 4))
-    q = d.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("bits").alias("b"), "block")
-    distance = bits.hamming(F.col("b"), F.col("bits"))
-    pairs = q.join(d, "block").where("query_id <> vec_id")
-    return pairs.select("query_id", "vec_id", distance.alias("distance"), F.round(1 - distance / 56.0, 6).alias("similarity"))
+    """Every fiftieth image against all, those whose hashes of 56 bits differ in 20 at most."""
+    d = grids(spark, sf_dir).select(F.col("vec_id").alias("id"), bits.packed(F.rpad(bits.difference_hash(F.col("g"), 8, 8), 64, "0")).alias("packed"))
+    q = d.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("packed").alias("query"))
+    found = near.hamming_search(q, d, 20).where("query_id <> id").withColumnRenamed("id", "vec_id")
+    return found.withColumn("similarity", F.round(1 - F.col("distance") / 56.0, 6))
+
+
+IMAGE = f"""{GRID}, im AS (SELECT vec_id, '.x' || label AS extension, array_to_string(list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) >= list_sum(g) / len(g) THEN '1' ELSE '0' END), '') AS bits,
+    128 + 50 * g[1] AS r, 128 + 50 * g[2] AS gr, 128 + 50 * g[3] AS b, abs(g[4]) / 4 AS v FROM grid JOIN embeddings USING (vec_id))"""
+
+
+@query(f"""WITH {IMAGE}, n AS (SELECT least(CAST(x.vec_id AS VARCHAR), CAST(y.vec_id AS VARCHAR)) AS file1, greatest(CAST(x.vec_id AS VARCHAR), CAST(y.vec_id AS VARCHAR)) AS file2,
+        sqrt((x.r - y.r) * (x.r - y.r) + (x.gr - y.gr) * (x.gr - y.gr) + (x.b - y.b) * (x.b - y.b)) / 441.67 AS far, x.v, y.v AS w, hamming(x.bits, y.bits) / 64.0 AS h
+        FROM im x JOIN im y ON x.extension = y.extension AND x.vec_id < y.vec_id),
+    m AS (SELECT *, greatest(0.1, greatest(v, w) / 0.05 * 0.5) AS k FROM n),
+    t AS (SELECT file1, file2, far, CASE WHEN v < 0.02 AND w < 0.02 THEN 1 - far WHEN v < 0.05 OR w < 0.05 THEN least((1 - h) * k + (1 - far) * (1 - k), 1 - far + 0.1)
+          ELSE 0.6 * (1 - h) + 0.4 * (1 - far) END AS s FROM m),
+    u AS (SELECT file1, file2, greatest(0, least(1, CASE WHEN far > 0.2 THEN least(s, 1 - 0.8 * far) ELSE s END)) AS similarity FROM t)
+    SELECT file1, file2, round(similarity, 6) AS similarity, 'combined' AS algorithm FROM u WHERE similarity >= 0.7""")
+def image_pairs(spark, sf_dir):
+    """Grids as images, with hashes of 64 bits and colours from their values; the label is the extension."""
+    g = F.col("g")
+    s = F.struct((128 + 50 * g[0]).alias("r"), (128 + 50 * g[1]).alias("g"), (128 + 50 * g[2]).alias("b"), (F.abs(g[3]) / 4).alias("variance"))
+    d = grids(spark, sf_dir).select(F.col("vec_id").cast("string").alias("path"), F.concat(F.lit(".x"), "label").alias("extension"), bits.average_hash(g).alias("hash"), s.alias("signature"))
+    return near.image_pairs(d, 0.7).withColumn("similarity", F.round("similarity", 6))
+
+
+def media_query(kind: str, odd: int):
+    def run(spark, sf_dir):
+        mark = bits.video_fingerprint(F.array(bits.difference_hash(F.col("g"), 8, 8)), F.lit(5))
+        kinds = F.when(F.col("label") % 2 == 0, "video").otherwise("audio")
+        d = grids(spark, sf_dir).select(F.col("vec_id").cast("string").alias("path"), (1000 + F.col("vec_id") * 7919 % 5003).alias("size"), kinds.alias("media_type"), mark.alias("media_fingerprint"))
+        return near.media_pairs(d, kind, 0.65).withColumn("similarity", F.round("similarity", 6))
+
+    run.__name__ = f"{kind}_pairs"
+    query(f"""WITH RECURSIVE {DHASH}, files AS (SELECT CAST(vec_id AS VARCHAR) AS path, 1000 + vec_id * 7919 % 5003 AS size, bits FROM dh JOIN embeddings USING (vec_id) WHERE label % 2 = {odd}), {bands_sql('1.3')},
+        n AS (SELECT x.path AS file1, y.path AS file2, 1 - hamming(x.bits, y.bits) / 56.0 AS similarity FROM banded x JOIN banded y ON x.band = y.band AND x.path < y.path)
+        SELECT file1, file2, round(similarity, 6) AS similarity, '{kind}-fingerprint' AS algorithm, '{kind}' AS media_type FROM n WHERE similarity >= 0.65""")(run)
+
+
+for _kind, _odd in (("video", 0), ("audio", 1)):
+    media_query(_kind, _odd)
 
 
 @query(f"""WITH {DHASH}, f AS (SELECT vec_id, bits, 'v1:5:' || bits || ':' || substring(sha256(bits), 1, 16) AS mark FROM dh),

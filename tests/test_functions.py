@@ -78,4 +78,30 @@ def test_edit_distance(spark):
     pairs += [(a, a[:7] + "x" + a[9:]) for a, _ in pairs]
     d = spark.createDataFrame(pairs, "a string, b string")
     assert [r.w for r in d.select(F.levenshtein("a", "b").alias("w")).collect()] == [text.distance(a, b) for a, b in pairs]
-    assert d.select(text.edit_distance("a", "b").alias("w")).agg(F.sum("w")).first()[0] == sum(text.distance(a, b) for a, b in pairs)
+    assert d.select(text.edit_distance("a", "b", F.lit(1_000_000)).alias("w")).agg(F.sum("w")).first()[0] == sum(text.distance(a, b) for a, b in pairs)
+
+
+def test_distance_in_bands_is_that_of_the_whole_table():
+    import random
+
+    from siltworks.functions.text import distance
+
+    def plain(a, b):
+        before = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+            before = row
+        return before[-1]
+
+    rng = random.Random(1)
+    for n in [rng.randint(0, 50) for _ in range(400)] + [1500, 1300]:
+        a = "".join(rng.choice("abcd") for _ in range(n))
+        b = list(a)
+        for _ in range(rng.choice((2, 10, 60))):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice(("", "x", "ab"))
+        b = "".join(b)
+        want, room = plain(a, b), rng.randint(0, 60)
+        assert distance(a, b) == distance(b, a) == want and distance(a, b, room) == (want if want <= room else None)
