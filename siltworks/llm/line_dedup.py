@@ -20,7 +20,7 @@ ROW_BITS = 8
 ZERO = 48
 #: In a posting list of more lines, they are held against its earliest line first. Forming the pairs of shorter lists takes
 #: little: filters are compiled code, and of a line's candidates the earliest alone is verified where it is alike.
-HOT = 1024
+HOT = 512
 #: Marks posting words that may have so long a list, as their cells' words occur so often.
 OFTEN = 1 << 30
 
@@ -105,10 +105,9 @@ def rarity(docs: DataFrame) -> bytearray:
     return cells(docs.sparkSession, w.groupBy(cell_of(F.xxhash64("w")).alias("cell")).agg(F.count(F.lit(1)).alias("n")), rank_of)
 
 
-#: Of a line: its id, how many distinct words it has, and a sketch: `all` has a bit flipped by each word; lines of
-#: more than 64 words have those of half the words in `odd`, lines of more than 128 those of another half in `high`
-#: and of both halves in `both`, so they tell 64, 128 or 256 bits.
-FEATURES = ("id", "n", "all", "odd", "high", "both")
+#: Of a line: its id, how many distinct words it has, and a sketch: `sketch` has a bit flipped by each word; for
+#: lines of more than 64 words `sketch2` has those of half the words, so that both tell 128 bits.
+FEATURES = ("id", "n", "sketch", "sketch2")
 
 
 def line_sets(docs: DataFrame, firsts: DataFrame, ranks: bytearray, least: Jaccard) -> DataFrame:
@@ -128,16 +127,14 @@ def line_sets(docs: DataFrame, firsts: DataFrame, ranks: bytearray, least: Jacca
     def posting(v):
         return v.bitwiseAND(F.lit(OFTEN - 1)).cast("int").bitwiseOR(F.when(F.shiftright(v, 56) >= often, F.lit(OFTEN)).otherwise(F.lit(0)))
 
-    none = F.lit(0).cast("long")
-
-    def flipped(one):
-        return F.aggregate("w", none, lambda a, v: a.bitwiseXOR(F.call_function("shiftleft", one(v), v.bitwiseAND(F.lit(63)).cast("int"))))
+    def bit(one, v):
+        return F.call_function("shiftleft", one, v.bitwiseAND(F.lit(63)).cast("int"))
 
-    every, odd, high = flipped(lambda v: F.lit(1).cast("long")), lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(1)), lambda v: F.shiftright(v, 7).bitwiseAND(F.lit(1))
-    halves, quarters = F.when(n <= 64, none), F.when(n <= 128, none)
-    sketch = (every.alias("all"), halves.otherwise(flipped(odd)).alias("odd"), quarters.otherwise(flipped(high)).alias("high"), quarters.otherwise(flipped(lambda v: odd(v).bitwiseAND(high(v)))).alias("both"))
+    none = F.lit(0).cast("long")
+    sketch = F.aggregate("w", none, lambda a, v: a.bitwiseXOR(bit(F.lit(1).cast("long"), v)))
+    half = F.aggregate("w", none, lambda a, v: a.bitwiseXOR(bit(F.shiftright(v, 6).bitwiseAND(F.lit(1)), v)))
     prefix = F.transform(F.slice("w", F.lit(1), (n - least.overlap(n) + 1).cast("int")), posting)
-    x = x.select("h1", "h2", F.struct(n.alias("n"), *sketch, prefix.alias("prefix")).alias("f"))
+    x = x.select("h1", "h2", F.struct(n.alias("n"), sketch.alias("sketch"), F.when(n > 64, half).otherwise(none).alias("sketch2"), prefix.alias("prefix")).alias("f"))
     x = x.groupBy("h1", "h2").agg(F.first("f").alias("f"))
     return materialise(x.join(firsts.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "f.*"), "line-sets")
 
@@ -150,13 +147,11 @@ def postings(sets: DataFrame) -> DataFrame:
 def may_match(a: str, b: str, least: Jaccard):
     """Length filter, positional filter (alike lines have a first common word, from which on each has as many words
     as are needed), and sketch: words that aren't shared differ in bits, and are few."""
-    (n, place, n2, place2) = (F.col(f"{x}{c}") for x in (a, b) for c in ("n", "place"))
+    (n, place, s, t), (n2, place2, s2, t2) = ([F.col(f"{x}{c}") for c in ("n", "place", "sketch", "sketch2")] for x in (a, b))
     length = least.under * F.least(n, n2) >= least.over * F.greatest(n, n2)
     left = least.shares(F.least(n - place, n2 - place2), n + n2)
-    every, odd, high, both = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in FEATURES[2:])
-    two = F.bit_count(odd) + F.bit_count(every.bitwiseXOR(odd))
-    four = F.bit_count(both) + F.bit_count(odd.bitwiseXOR(both)) + F.bit_count(high.bitwiseXOR(both)) + F.bit_count(every.bitwiseXOR(odd).bitwiseXOR(high).bitwiseXOR(both))
-    unlike = F.when(F.least(n, n2) <= 64, F.bit_count(every)).when(F.least(n, n2) <= 128, two).otherwise(four)
+    whole, half = s.bitwiseXOR(s2), t.bitwiseXOR(t2)
+    unlike = F.when(F.least(n, n2) <= 64, F.bit_count(whole)).otherwise(F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half)))
     return length & left & ((least.over + least.under) * unlike <= (least.under - least.over) * (n + n2))
 
 
@@ -168,14 +163,14 @@ def pairs_of(x: DataFrame, y: DataFrame, where, least: Jaccard) -> DataFrame:
 
 
 def cold_pairs(rows: DataFrame, least: Jaccard) -> DataFrame:
-    """No list has more than HOT rows, so a partition's hash table is as large as others' and nothing needs sorting."""
-    return pairs_of(rows, rows.hint("shuffle_hash"), F.col("x.id") < F.col("y.id"), least)
+    return pairs_of(rows, rows, F.col("x.id") < F.col("y.id"), least)
 
 
 def line_words(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """id, line, n: the lines in pairs and how many distinct words they have. They are looked for in the texts again; a
     table of marks of fixed size keeps most others out of the shuffle."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts.select("id", "h1", "h2"), "id")
+    ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+    keys = ids.join(firsts.select("id", "h1", "h2"), "id")
     keys = materialise(keys, "line-keys")
     seen = marked(marks(docs.sparkSession, keys, F.col("h1")), F.col("h1"))
     found = lines_of(docs).where(seen).select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line"))
