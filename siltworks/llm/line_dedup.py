@@ -18,8 +18,8 @@ CELL_BITS = 17
 ROW_BITS = 8
 #: The byte of a cell of value 0; values go up to 63.
 ZERO = 48
-#: In a posting list of more lines, they are held against its earliest line first. Forming the pairs of shorter lists takes
-#: little: filters are compiled code, and of a line's candidates the earliest alone is verified where it is alike.
+#: In a posting list of more lines, they are held against its earliest line first. Going through the pairs of shorter lists takes
+#: little: filters are compiled code, and of a line's candidates the earliest alone is kept.
 HOT = 1024
 #: Marks posting words that may have so long a list, as their cells' words occur so often.
 OFTEN = 1 << 30
@@ -156,14 +156,9 @@ def may_match(a: str, b: str, least: Jaccard):
 
 
 def pairs_of(x: DataFrame, y: DataFrame, where, least: Jaccard) -> DataFrame:
-    """a < b, ids of lines of x and y that share a posting word and pass the filters."""
+    """a < b, ids of lines of x and y that share a posting word and pass the filters, once for each such word."""
     found = (F.col("x.word") == F.col("y.word")) & where & may_match("x.", "y.", least)
-    both = x.alias("x").join(y.alias("y"), found).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    return both.distinct()
-
-
-def cold_pairs(rows: DataFrame, least: Jaccard) -> DataFrame:
-    return pairs_of(rows, rows, F.col("x.id") < F.col("y.id"), least)
+    return x.alias("x").join(y.alias("y"), found).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def line_words(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -185,35 +180,33 @@ def alike(pairs: DataFrame, found: DataFrame, least: Jaccard) -> DataFrame:
 
 
 def later(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, least: Jaccard) -> DataFrame:
-    """id of each b of the pairs that is alike one of its a. The earliest is tried first: in a group of alike lines it mostly
-    is alike, and the others needn't be tried."""
-    found = line_words(pairs, firsts, docs)
-    tried = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    gone = materialise(alike(tried, found, least).select(F.col("b").alias("id")), "line-later")
-    rest = pairs.join(gone.select(F.col("id").alias("b")), "b", "left_anti").join(tried, ["a", "b"], "left_anti")
-    more = alike(rest, found, least).select(F.col("b").alias("id")).distinct()
-    return gone.unionByName(materialise(more, "line-later"))
+    """id of each b of the pairs that is alike one of its a."""
+    found = alike(pairs, line_words(pairs, firsts, docs), least)
+    return materialise(found.select(F.col("b").alias("id")).distinct(), "line-later")
 
 
 def later_lines(docs: DataFrame, sets: DataFrame, firsts: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
-    """id of each line that an alike one comes before; ids are in the order of the lines. In lists of more than HOT lines, these are held against the
-    earliest first; only those that this doesn't remove, nor another list, are then held against all before them."""
+    """id of each line that an alike one comes before; ids are in the order of the lines. First each line is held against its earliest
+    candidate alone, which removes most of a group of alike lines, so the group's pairs aren't written; in lists of more than HOT lines
+    only the earliest line is a candidate. Lines that this doesn't remove are then held against all their candidates."""
     rows = postings(sets)
     lists = rows.where(F.col("word") >= OFTEN).groupBy("word").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("leader"))
     lists = materialise(lists.where(F.col("many") > HOT).select("word", "leader"), "line-lists")
-    if lists.isEmpty():
-        return later(materialise(cold_pairs(rows, least), "line-pairs"), firsts, docs, least)
-    hot = materialise(rows.join(lists, "word"), "line-hot")
-    led = pairs_of(hot.where("id = leader"), hot, F.col("x.id") < F.col("y.id"), least)
-    cold = cold_pairs(rows.join(lists, "word", "left_anti"), least)
-    pairs = materialise(cold.unionByName(led).distinct(), "line-pairs")
-    found = later(pairs, firsts, docs, least)
-    again = hot.join(found, "id", "left_anti")
-    more = pairs_of(again, hot, F.col("x.id") > F.col("y.id"), least)
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    hot = None if lists.isEmpty() else materialise(rows.join(lists, "word"), "line-hot")
+    cold = rows if hot is None else rows.join(lists, "word", "left_anti")
+    first = pairs_of(cold, cold, F.col("x.id") < F.col("y.id"), least)
+    if hot is not None:
+        first = first.unionByName(pairs_of(hot.where("id = leader"), hot, F.col("x.id") < F.col("y.id"), least))
+    tried = materialise(first.groupBy("b").agg(F.min("a").alias("a")), "line-tried")
+    gone = later(tried, firsts, docs, least)
+    left = tried.select(F.col("b").alias("id")).join(gone, "id", "left_anti")
+    more = pairs_of(cold.join(left, "id", "left_semi"), cold, F.col("x.id") > F.col("y.id"), least)
+    if hot is not None:
+        more = more.unionByName(pairs_of(hot.join(gone, "id", "left_anti"), hot, F.col("x.id") > F.col("y.id"), least))
+    more = materialise(more.distinct().join(tried, ["a", "b"], "left_anti"), "line-pairs")
     if more.isEmpty():
-        return found
-    return found.unionByName(later(more, firsts, docs, least)).distinct()
+        return gone
+    return gone.unionByName(later(more, firsts, docs, least))
 
 
 def line_decisions(docs: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
