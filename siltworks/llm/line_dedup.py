@@ -197,13 +197,16 @@ def later_lines(docs: DataFrame, sets: DataFrame, firsts: DataFrame, least: Jacc
     first = pairs_of(cold, cold, F.col("x.id") < F.col("y.id"), least)
     if hot is not None:
         first = first.unionByName(pairs_of(hot.where("id = leader"), hot, F.col("x.id") < F.col("y.id"), least))
-    tried = materialise(first.groupBy("b").agg(F.min("a").alias("a")), "line-tried")
-    gone = later(tried, firsts, docs, least)
-    left = tried.select(F.col("b").alias("id")).join(gone, "id", "left_anti")
-    more = pairs_of(cold.join(left, "id", "left_semi"), cold, F.col("x.id") > F.col("y.id"), least)
+    tried = materialise(first.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("last")), "line-tried")
+    gone = later(tried.select("a", "b"), firsts, docs, least)
+    left = tried.where("a < last").select(F.col("b").alias("id")).join(gone, "id", "left_anti")
+    few = postings(sets.join(left, "id", "left_semi"))
+    few = materialise(few if hot is None else few.join(lists, "word", "left_anti"), "line-few")
+    word = F.xxhash64("word")
+    more = pairs_of(few, cold.where(marked(marks(docs.sparkSession, few, word), word)), F.col("x.id") > F.col("y.id"), least)
     if hot is not None:
         more = more.unionByName(pairs_of(hot.join(gone, "id", "left_anti"), hot, F.col("x.id") > F.col("y.id"), least))
-    more = materialise(more.distinct().join(tried, ["a", "b"], "left_anti"), "line-pairs")
+    more = materialise(more.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "line-pairs")
     if more.isEmpty():
         return gone
     return gone.unionByName(later(more, firsts, docs, least))
