@@ -187,8 +187,8 @@ def later(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, least: Jaccard)
 
 def later_lines(docs: DataFrame, sets: DataFrame, firsts: DataFrame, least: Jaccard = Jaccard()) -> DataFrame:
     """id of each line that an alike one comes before; ids are in the order of the lines. First each line is held against its earliest
-    candidate alone, which removes most of a group of alike lines, so the group's pairs aren't written; in lists of more than HOT lines
-    only the earliest line is a candidate. Lines that this doesn't remove are then held against all their candidates."""
+    candidate alone, which removes most of a group of lines that are alike its earliest; in lists of more than HOT lines only the
+    earliest line is a candidate. Lines that this doesn't remove are then held against all their candidates, all pairs of them."""
     rows = postings(sets)
     lists = rows.where(F.col("word") >= OFTEN).groupBy("word").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("leader"))
     lists = materialise(lists.where(F.col("many") > HOT).select("word", "leader"), "line-lists")
