@@ -4,6 +4,7 @@ columns, or the row groups and pages of some documents, without the rest."""
 
 from __future__ import annotations
 
+import json
 import zlib
 from pathlib import Path
 
@@ -18,6 +19,8 @@ from .common import Published, open_fs, shared_path
 
 #: Parts of texts that a worker remembers the ids of.
 REMEMBERED = 800_000
+#: How a tokenizer whose parts are remembered cuts texts.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Tokens in a row group, at most one document more.
 GROUP_TOKENS = 1 << 20
 FILE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("tokens", pa.list_(pa.int32()))])
@@ -25,12 +28,28 @@ MANIFEST = "file int, path string, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def cuts_at_blanks(model: str) -> bool:
+    """Whether a tokenizer, given as its JSON, is known to lower-case, to cut at white space and between letters and other signs, and to mark
+    the ends of words, and adds no tokens but those named <|...|>. Of others nothing is assumed."""
+    x = json.loads(model)
+    norm, pre = x.get("normalizer") or {}, x.get("pre_tokenizer") or {}
+    norms, pres = norm.get("normalizers", [norm]), pre.get("pretokenizers", [pre])
+    first = pres[0] if pres else {}
+    return (
+        [n.get("type") for n in norms] == ["NFC", "Replace", "Lowercase"] and norms[1].get("pattern") == {"Regex": r"\s+"} and norms[1].get("content") == " "
+        and [n.get("type") for n in pres] == ["Split", "ByteLevel"] and first.get("behavior") == "Removed" and first.get("invert") is True
+        and first.get("pattern") == {"Regex": WORDS} and not pres[1].get("add_prefix_space") and not pres[1].get("use_regex")
+        and x.get("model", {}).get("end_of_word_suffix") == "</w>" and not x.get("model", {}).get("dropout")
+        and all(t["content"].startswith("<|") for t in x.get("added_tokens") or [])
+    )
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library. The tokenizer lower-cases, cuts at white space and between
-    letters and other signs before anything else, so a piece between blanks has the ids of its lower case,
+    """Ids of texts by the tokenizers library. Where the tokenizer lower-cases, cuts at white space and between
+    letters and other signs before anything else (`cuts_at_blanks`), a piece between blanks has the ids of its lower case,
     and of the part before a last ASCII full stop or comma after a letter, followed by the sign's. Each such part is
     encoded once and remembered; REMEMBERED bounds the memory. Texts that may hold a special token's name,
-    which isn't lower-cased, are encoded as they are."""
+    which isn't lower-cased, are encoded as they are, as are all texts by any other tokenizer."""
 
     def __init__(self, model: str):
         import os
@@ -38,7 +57,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(model), {}
+        self.tokenizer, self.known, self.by_parts = Tokenizer.from_str(model), {}, cuts_at_blanks(model)
+        if not self.by_parts:
+            return
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
         self.signs = {c: self.encode([bytes([c])])[0] for c in b".,"}
@@ -71,6 +92,8 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if not self.by_parts:
+            return self.encode([x.encode() for x in texts])
         pieces = [[] if "<|" in x else x.encode().lower().split() for x in texts]
         known, signs = self.known, self.signs
         distinct = set().union(*pieces)

@@ -57,3 +57,17 @@ def test_files(spark, tmp_path):
 
 def test_empty(spark):
     assert token_digests(cases.empty(spark), tokenizer_path()).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path) as f:
+        mine = Encoder(f.read())
+    assert not mine.by_parts
+    texts = ["", "Hello  World, it's HERE.\n\nNew line", "  leading", "caf\u00e9 \u4e2d\u6587 <|endoftext|>", "x" * 5000]
+    assert mine.ids(texts) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in (library.encode(t, add_special_tokens=False) for t in texts)]
+    with open(tokenizer_path()) as f:
+        assert Encoder(f.read()).by_parts
