@@ -14,12 +14,13 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which no language can be told: null texts and texts without a letter."""
+    """Drops null texts, texts without a letter, and those in which no language has half of the text or more. Each row is judged
+    by its text alone, so repeated rows and rows with a null doc_id stay or go alike."""
     return langid.with_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of equal or near texts, that with the smallest doc_id."""
+    """Keeps one document of each class of equal or near texts, that with the smallest doc_id; of repeated rows one."""
     return dart_minhash.without_near_duplicates(docs)
 
 

@@ -134,9 +134,9 @@ def near_members(pairs: DataFrame, kind: str) -> DataFrame:
 
 
 def near_groups(members: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """id, type, files, avg_similarity, avg_edge_similarity: a row for each group, for reports, numbered by similarity and root; the files
-    aren't there when groups are numbered. Files carry the root they came
-    from, if files (path, source_root) are given."""
+    """id, type, number, files, avg_similarity, avg_edge_similarity: a row for each group, for reports, numbered by similarity and root within
+    the type. Numbers are given by ranges of that order, without the files, so no task has all groups. Files carry the root
+    they came from, if files (path, source_root) are given."""
     if files is not None:
         members = members.join(files.select("path", "source_root"), "path", "left")
     else:
@@ -144,9 +144,16 @@ def near_groups(members: DataFrame, files: DataFrame | None = None) -> DataFrame
     rows = members.groupBy("type", "group_root").agg(
         F.array_sort(F.collect_list(F.struct("path", "similarity", "source_root", "max_edge_similarity"))).alias("files"), F.avg("similarity").alias("avg_similarity"), F.first("avg_edge_similarity").alias("avg_edge_similarity")
     )
-    number = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("avg_similarity"), "group_root"))
-    numbers = members.groupBy("type", "group_root").agg(F.avg("similarity").alias("avg_similarity")).select("type", "group_root", F.concat_ws("-", "type", number.cast("string")).alias("id"))
-    return rows.join(numbers, ["type", "group_root"]).select("id", "type", "files", "avg_similarity", "avg_edge_similarity")
+    order = (F.desc("avg_similarity"), F.asc("group_root"))
+    roots = members.groupBy("type", "group_root").agg(F.avg("similarity").alias("avg_similarity"))
+    roots = materialise(roots.repartitionByRange("type", *order).withColumn("part", F.spark_partition_id()), "near-roots")
+    before = Window.partitionBy("type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = roots.groupBy("type", "part").count().select("type", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    number = F.col("start") + F.row_number().over(Window.partitionBy("type", "part").orderBy(*order))
+    numbers = roots.join(F.broadcast(starts), ["type", "part"]).select("type", "group_root", number.alias("number"))
+    return rows.join(numbers, ["type", "group_root"]).select(
+        F.concat_ws("-", "type", F.col("number").cast("string")).alias("id"), "type", "number", "files", "avg_similarity", "avg_edge_similarity"
+    )
 
 
 def near_summary(members: DataFrame) -> DataFrame:

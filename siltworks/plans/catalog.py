@@ -12,6 +12,9 @@ from ..sources import corpus
 from ..streaming import dedupe as streaming
 from ..tables import materialise, shared_path
 
+#: Events in a track of audio samples.
+TRACK = 16384
+
 # What documents are as files, in SQL.
 FILES = """
     files AS (SELECT '/' || source || '/' || lang || '/' || doc_id || '.' || lang AS path, doc_id || '.' || lang AS name,
@@ -468,9 +471,9 @@ def text_normalise_words(spark, sf_dir):
 
 @query()
 def audio_fingerprints(spark, sf_dir):
-    """Events of each user as 16-bit samples."""
+    """Events as 16-bit samples; each TRACK event ids in a row are a track."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    s = e.groupBy((F.col("user_id") % 4).alias("track")).agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("value").cast("smallint").alias("v")))).alias("s"))
+    s = e.groupBy(F.floor(F.col("event_id") / TRACK).alias("track")).agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("value").cast("smallint").alias("v")))).alias("s"))
     return s.select("track", audio.audio_fingerprint(F.transform("s", lambda x: x["v"])).alias("mark"))
 
 

@@ -16,7 +16,9 @@ from ..schema import INDEX_ENTRY
 from ..sources.files import hash_files, parse_directories, read_texts, scan_roots
 from ..sources.media import read_images
 from ..tables import materialise
-from .report import EXACT_SHOWN, default_name, export
+from .report import EXACT_SHOWN, NEAR_SHOWN, default_name, export
+
+KINDS = ("text", "image", "video", "audio")
 
 
 def hash_incrementally(files: DataFrame, index: HashIndex, roots: list[str], rebuild: bool) -> DataFrame:
@@ -58,7 +60,8 @@ def near_members_of(spark: SparkSession, files: DataFrame, options) -> DataFrame
 
 
 def run(spark: SparkSession, dirs: list[str], options: RunOptions = RunOptions()) -> dict:
-    """Runs over the folders and returns the report's data; the report is written if options name a format."""
+    """Runs over the folders and returns the report's data, with the groups that reports show; the report is written if options name a
+    format. A JSON report has all groups."""
     began = time.time()
     files = materialise(scan_roots(spark, dirs, options.scan), "scanned")
     totals = stats.scan_totals(files).first()
@@ -79,18 +82,26 @@ def run(spark: SparkSession, dirs: list[str], options: RunOptions = RunOptions()
     began = time.time()
     groups = materialise(exact.duplicate_hashes(hashed), "groups")
     members = exact.duplicate_members(hashed, groups)
-    shown = exact.exact_groups(hashed).limit(EXACT_SHOWN).collect()
+    first = groups.orderBy(F.desc("wasted_space"), "content_hash").limit(EXACT_SHOWN).select("content_hash")
+    shown = exact.exact_groups(hashed.join(first, "content_hash", "left_semi")).collect()
+    tables = {"exact": exact.exact_groups(hashed)}
     data["exact"] = {"summary": exact.exact_summary(groups).first().asDict(), "groups": [g.asDict(recursive=True) for g in shown], "hash_time": int((time.time() - began) * 1000)}
     rule = options.cleanup
     if rule:
-        keep = {r.content_hash: r.path for r in cleanup.kept_files(members.join(groups.orderBy(F.desc("wasted_space"), "content_hash").limit(EXACT_SHOWN).select("content_hash"), "content_hash", "left_semi"), rule).collect()}
+        keep = {r.content_hash: r.path for r in cleanup.kept_files(members.join(first, "content_hash", "left_semi"), rule).collect()}
+        kept = cleanup.kept_files(members, rule).select("content_hash", F.col("path").alias("keep_path"))
+        tables["exact"] = tables["exact"].join(kept, "content_hash", "left").orderBy(F.desc("wasted_space"), "content_hash")
         for g in data["exact"]["groups"]:
             g["keep_path"] = keep.get(g["content_hash"])
     if options.near:
         began = time.time()
         left = files.join(members.select("path"), "path", "left_anti")
-        found = near.near_groups(near_members_of(spark, left, options.near), files).collect()
-        data["near"] = {k: [g.asDict(recursive=True) for g in found if g.type == k] for k in ("text", "image", "video", "audio")}
+        found = materialise(near.near_groups(near_members_of(spark, left, options.near), files), "near-groups")
+        tables["near"] = found.orderBy("type", "number")
+        some = found.where(F.col("number") <= NEAR_SHOWN).orderBy("type", "number").drop("number").collect()
+        data["near"] = {k: [g.asDict(recursive=True) for g in some if g.type == k] for k in KINDS}
+        counts = {r.type: r["count"] for r in found.groupBy("type").count().collect()}
+        data["near_totals"] = {k: counts.get(k, 0) for k in KINDS}
         data["similarity_time"] = int((time.time() - began) * 1000)
     if rule and data["exact"]["summary"]["n_groups"]:
         done = materialise(cleanup.execute(cleanup.cleanup_plan(members, rule), rule), "cleanup")
@@ -98,5 +109,5 @@ def run(spark: SparkSession, dirs: list[str], options: RunOptions = RunOptions()
         errors = [f"{r.path}: {r.error}" for r in done.where("error IS NOT NULL").limit(1000).collect()]
         data["cleanup"] = {"rule": cleanup.keep_rule(rule)["description"], "dry_run": rule.dry_run, "deleted_count": t.n, "recovered_space": t.b, "errors": errors}
     if options.report:
-        data["report_path"] = export(data, options.report, options.output or default_name(options.report, parse_directories(dirs)[0]))
+        data["report_path"] = export(data, options.report, options.output or default_name(options.report, parse_directories(dirs)[0]), tables)
     return data

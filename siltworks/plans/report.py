@@ -7,6 +7,9 @@ import html
 import json
 import os
 import re
+import uuid
+
+from pyspark.sql import functions as F
 
 from ..functions.paths import format_bytes_py
 
@@ -53,6 +56,29 @@ def to_json(data: dict) -> str:
     return json.dumps(plain(data), indent=2, ensure_ascii=False)
 
 
+def json_parts(data: dict, tables: dict):
+    """The pieces of data's JSON text, with all groups of the tables (`exact`, `near`) instead of those that are in data. Groups come from
+    the executors a partition at a time."""
+    mark, lists, whole = uuid.uuid4().hex, {}, dict(data)
+
+    def instead(key, table):
+        lists[key] = table
+        return f"{mark}{key}"
+
+    if "exact" in tables and data.get("exact"):
+        whole["exact"] = {**data["exact"], "groups": instead("exact", tables["exact"])}
+    if "near" in tables and data.get("near"):
+        whole["near"] = {k: instead(k, tables["near"].where(F.col("type") == k).drop("number")) for k in data["near"]}
+    text, *rest = to_json(whole).split(f'"{mark}')
+    yield text
+    for piece in rest:
+        key, after = piece.split('"', 1)
+        yield "["
+        for k, row in enumerate(lists[key].toLocalIterator()):
+            yield ("," if k else "") + "\n" + json.dumps(plain(row.asDict(recursive=True)), ensure_ascii=False)
+        yield "]" + after
+
+
 def sections(data: dict):
     """(title, facts, table heads, rows, note) of each part of a report; a row may begin with a mark."""
     scan = data["scan"]
@@ -72,10 +98,11 @@ def sections(data: dict):
             across = ", across folders" if g["is_cross_directory"] else ""
             yield f"Group {k}: {format_bytes_py(g['wasted_space'])}{across}", [("Hash", g["content_hash"]), ("Size", format_bytes_py(g["size"]))], ("Path", "Folder", "Modified", "Action"), rows, note
     for kind, groups in (data.get("near") or {}).items():
-        yield f"Near duplicates: {kind}", [("Groups", f"{len(groups):,}")], (), [], ""
+        n = data.get("near_totals", {}).get(kind, len(groups))
+        yield f"Near duplicates: {kind}", [("Groups", f"{n:,}")], (), [], ""
         for k, g in enumerate(groups[:NEAR_SHOWN], 1):
             rows = [(similarity_class(f["similarity"]), f["path"], os.path.basename(f.get("source_root") or "") or "-", f"{f['similarity'] * 100:.2f}%") for f in g["files"]]
-            note = f"{len(groups) - NEAR_SHOWN} more groups" if k == NEAR_SHOWN and len(groups) > NEAR_SHOWN else ""
+            note = f"{n - NEAR_SHOWN} more groups" if k == NEAR_SHOWN and n > NEAR_SHOWN else ""
             yield f"{g['id']}: {g['avg_similarity'] * 100:.2f}%", [], ("Path", "Folder", "Similarity"), rows, note
     if cleanup := data.get("cleanup"):
         yield "Cleanup" + (" (dry run)" if cleanup["dry_run"] else ""), [("Rule", cleanup["rule"]), ("Deleted", f"{cleanup['deleted_count']:,}"), ("Recovered", format_bytes_py(cleanup["recovered_space"]))], (), [], ""
@@ -106,14 +133,14 @@ def to_html(data: dict) -> str:
     return "\n".join([*out, "</body></html>"])
 
 
-def export(data: dict, kind: str, path: str) -> str:
-    """Writes a report, with the folders above it; returns the path."""
+def export(data: dict, kind: str, path: str, tables: dict | None = None) -> str:
+    """Writes a report, with the folders above it; returns the path. A JSON report has all groups of the tables, if they are given."""
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind}")
-    text = {"json": to_json, "markdown": to_markdown, "html": to_html}[kind](data)
+    parts = json_parts(data, tables or {}) if kind == "json" else [{"markdown": to_markdown, "html": to_html}[kind](data)]
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+        f.writelines(parts)
     return path
 
 
@@ -129,7 +156,7 @@ def console(data: dict) -> str:
         for g in exact["groups"][:5]:
             out += [f"  {g['content_hash'][:12]} x{g['n_files']} {format_bytes_py(g['wasted_space'])}"] + [f"    {f['path']}" for f in g["files"][:3]]
     for kind, groups in (data.get("near") or {}).items():
-        out.append(f"{len(groups)} near groups of {kind}")
+        out.append(f"{data.get('near_totals', {}).get(kind, len(groups))} near groups of {kind}")
         for g in groups[:2]:
             out += [f"  {g['id']}"] + [f"    {f['path']}" for f in g["files"][:3]]
     if cleanup := data.get("cleanup"):

@@ -27,8 +27,8 @@ def groups_of(state: DataFrame) -> DataFrame:
 
 
 class StreamingDedupe:
-    """Runs a stream of files into a state below a folder. Batch n's state is written beside that of batch n - 1, so a batch that is run
-    again gives the same; a restart goes on from the checkpoint."""
+    """Runs a stream of files into a state below a folder. Batch n's state is written beside that of the batch before, so a batch that is
+    run again gives the same; older ones are deleted. A restart goes on from the checkpoint."""
 
     def __init__(self, spark: SparkSession, folder: str, on_progress=None):
         self.spark, self.folder, self.on_progress = spark, folder.rstrip("/"), on_progress
@@ -36,16 +36,21 @@ class StreamingDedupe:
     def state_path(self, batch: int) -> str:
         return f"{self.folder}/state/{batch:09d}"
 
-    def state(self, batch: int | None = None) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
+    def states(self):
+        """The file system and the paths of the states, oldest first."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
         fs = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = sorted(x.getPath().getName() for x in fs.listStatus(place)) if fs.exists(place) else []
-        names = [n for n in names if batch is None or int(n) < batch]
-        return self.spark.read.schema(STATE).parquet(f"{self.folder}/state/{names[-1]}") if names else self.spark.createDataFrame([], STATE)
+        return fs, sorted((x.getPath() for x in fs.listStatus(place)), key=lambda x: int(x.getName())) if fs.exists(place) else []
+
+    def state(self, batch: int | None = None) -> DataFrame:
+        paths = [p for p in self.states()[1] if batch is None or int(p.getName()) < batch]
+        return self.spark.read.schema(STATE).parquet(paths[-1].toString()) if paths else self.spark.createDataFrame([], STATE)
 
     def step(self, files: DataFrame, batch: int) -> None:
         merged_counts(self.state(batch), batch_counts(files)).write.mode("overwrite").parquet(self.state_path(batch))
+        fs, paths = self.states()
+        for old in [p for p in paths if int(p.getName()) < batch][:-1]:
+            fs.delete(old, True)
         if self.on_progress:
             self.on_progress(batch)
 

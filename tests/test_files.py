@@ -4,6 +4,7 @@ import pytest
 
 from siltworks.cli import main, options_of, parser
 from siltworks.config import CleanupOptions, NearOptions, RunOptions, ScanOptions
+from siltworks.operators import exact, near
 from siltworks.plans import dedupe, report
 from siltworks.sources import files
 from siltworks.sources.ignore import IgnoreRules
@@ -83,12 +84,27 @@ def test_run_and_reports(spark, tree, tmp_path):
     (tree / "b/a_copy.txt").unlink()
     near = dedupe.run(spark, [str(tree)], RunOptions(near=NearOptions(), report=""))["near"]["text"]
     assert [sorted(f["path"].removeprefix(f"{tree}/") for f in g["files"]) for g in near] == [["a.txt", "b/near.txt"]] and near[0]["files"][0]["source_root"] == str(tree)
-    data["near"] = {"text": near}
+    data["near"], data["near_totals"] = {"text": near}, {"text": len(near)}
     markdown, page = report.to_markdown(data), report.to_html(data)
     assert "| a" in markdown.replace("\\", "") or "a.txt" in markdown.replace("\\", "") and "text\\-1" in markdown
     assert "class='high'" in page and "<script" not in page and "would delete 2 files" in report.console(data)
 
 
+def test_json_has_all_groups(spark, tmp_path):
+    n = report.EXACT_SHOWN + 25
+    f = spark.createDataFrame([(f"/r/{i}-{j}", i, f"h{i:03d}", j, "/r") for i in range(1, n + 1) for j in range(2)], "path string, size long, content_hash string, mtime long, source_root string")
+    groups = exact.exact_groups(f)
+    pairs = spark.createDataFrame([(f"a{i:03d}", f"b{i:03d}", 0.9) for i in range(30)], "file1 string, file2 string, similarity double")
+    found = near.near_groups(near.near_members(pairs, "text"))
+    assert sorted((r.number, r.id, r.files[0].path) for r in found.collect()) == [(i + 1, f"text-{i + 1}", f"a{i:03d}") for i in range(30)]
+    data = {"generated_at": None, "exact": {"summary": {"n_groups": n}, "groups": []}, "near": {"text": [], "image": []}, "note": "after"}
+    path = report.export(data, "json", str(tmp_path / "all.json"), {"exact": groups, "near": found.orderBy("type", "number")})
+    with open(path) as g:
+        loaded = json.load(g)
+    assert [x["size"] for x in loaded["exact"]["groups"]] == list(range(n, 0, -1)) and loaded["note"] == "after"
+    assert [x["id"] for x in loaded["near"]["text"]] == [f"text-{i + 1}" for i in range(30)] and loaded["near"]["image"] == []
+
+
 def test_sinks(tmp_path):
     assert report.escape_markdown("a_b|c*") == "a\\_b\\|c\\*" and report.escape_html("<a href='x'>&\"") == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"
     assert [report.similarity_class(x) for x in (0.95, 0.9, 0.2)] == ["high", "medium", "low"]
