@@ -23,3 +23,24 @@ def test_stages_keep_columns_and_clean_rows(spark, tmp_path):
     assert seen[0] & {5, 6, 7, 8, 9, 17} == set() and {2, 3, 12} & seen[1] == set() and 4 not in seen[2] and seen[2] == seen[3] == seen[4]
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.collect()} == seen[4]
+
+
+def test_empty_tables_and_null_ids(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cases.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "sharding" or out.columns == none.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(None if i < 3 else i, cases.prose(70 + i, 90, 4000), "en", None if i == 5 else "a", 1) for i in range(40)]
+    rows += [rows[0], rows[9], (None, None, "en", "a", 1), (60, "", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, cases.DOC)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/null-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/null-{name}")
+        got = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        want = rows[:-2] if name == "language_id" else rows[:40]
+        assert (sorted if name != "mixing" else set)(map(str, got)) == (sorted if name != "mixing" else set)(str(r[:2]) for r in want) or name == "sharding"
+        assert {str(x) for x in got} == {str(r[:2]) for r in rows[:40]}
