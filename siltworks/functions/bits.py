@@ -68,6 +68,48 @@ def fingerprint_similarity(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when((x == 0) | (y == 0), 0.0).otherwise(similar)
 
 
+#: Words of 64 bits of a fingerprint that are compared as columns: those of five frames.
+HEAD = 5
+
+
+def plain_bits(mark: Column) -> Column:
+    """Whether a fingerprint's bits are 0 and 1 alone."""
+    return fingerprint_bits(mark).rlike("\\A[01]*\\z")
+
+
+def fingerprint_words(mark: Column) -> Column:
+    """The bits of a fingerprint with plain bits, 64 in a long, the last one filled up with 0; HEAD longs at least."""
+    x = fingerprint_bits(mark)
+    words = F.greatest(F.lit(HEAD), F.ceil(F.length(x) / 64).cast("int"))
+    return F.transform(F.sequence(F.lit(0), words - 1), lambda i: packed(F.rpad(F.substr(x, i * 64 + 1, F.lit(64)), 64, "0")))
+
+
+def word_mask(n: Column, before: Column | int) -> Column:
+    """The bits that a fingerprint of n bits has of a word of it, where so many bits come before, as a long of ones."""
+    own = F.least(F.lit(64), F.greatest(F.lit(0), n - before))
+    return F.when(own == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("long"), 64 - own))
+
+
+def head_distance(a: list[Column], b: list[Column], masks_a: list[Column], masks_b: list[Column], n: Column, m: Column) -> Column:
+    """fingerprint_distance of plain fingerprints of n and m bits by their first HEAD words and their masks, given as columns: exact if
+    neither is longer, else the distance is no less."""
+    both = zip(a, b, masks_a, masks_b)
+    return sum((F.bit_count(x.bitwiseXOR(y).bitwiseAND(v).bitwiseAND(w)) for x, y, v, w in both), F.abs(n - m))
+
+
+def words_distance(a: Column, b: Column, n: Column, m: Column) -> Column:
+    """fingerprint_distance of plain fingerprints of n and m bits, by their words."""
+    words = F.least(F.size(a), F.size(b))
+    least = F.least(n, m)
+    each = F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i)).bitwiseAND(word_mask(least, 64 * i))))
+    return F.aggregate(each, F.lit(0), lambda t, x: t + x) + F.abs(n - m)
+
+
+def share_alike(distance: Column, n: Column, m: Column) -> Column:
+    """The similarity of fingerprints of n and m bits with that distance."""
+    return F.when((n == 0) | (m == 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - distance / F.greatest(n, m, F.lit(1))))
+
+
 def frame_schedule(duration: Column, most: int = 5) -> Column:
     """When frames of a video are taken, in seconds: one for two seconds, at least one, evenly spread."""
     n = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(duration / 2).cast("int")))

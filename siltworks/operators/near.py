@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MEDIA_TOLERANCE, TEXT_TOLERANCE, NearOptions
@@ -16,14 +16,61 @@ from .components import components
 EPS = 1e-9
 
 
-def blocked_pairs(files: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Pairs of files with equal keys, the smaller path first: an equi-join, which can be split where it is hot."""
-    a = files.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.col("path").alias("file1"), *(F.col(c).alias(f"{c}1") for c in columns))
-    b = files.select(*(F.col(k).alias(f"l_{k}") for k in keys), F.col("path").alias("file2"), *(F.col(c).alias(f"{c}2") for c in columns))
-    on = F.col("file1") < F.col("file2")
+#: Rows of a block that are dealt out together: a task of a join compares the square of it.
+DEALT = 4096
+
+
+def dealt_pairs(x: DataFrame, y: DataFrame, keys: list[str], within: bool) -> DataFrame:
+    """Rows of x beside those of y (their columns named x_ and y_) with equal keys and different paths, in tasks of DEALT by DEALT rows, so that
+    a hot key is many tasks: a key's rows are dealt out by the hash of their path. within: y is x, and each
+    pair is made once, in no certain order."""
+    known = F.lit(True)
+    for c in (*keys, "path"):
+        known &= F.col(c).isNotNull()
+    x, y = x.where(known), y.where(known)
+
+    def cut(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias(name))
+
+    parts = cut(x, "i_")
+    parts = parts.withColumn("j_", F.col("i_")) if within else parts.join(cut(y, "j_"), keys)
+
+    def dealt(rows: DataFrame, side: str) -> DataFrame:
+        i, j = (F.pmod(F.xxhash64("path"), F.col(c)).cast("int") for c in ("i_", "j_"))
+        first, last = (F.lit(0), i) if within and side == "y" else (i if within else F.lit(0), F.col("j_" if side == "x" else "i_") - 1)
+        at = (i, F.explode(F.sequence(first, last))) if side == "x" else (F.explode(F.sequence(first, last)), j)
+        rows = rows.join(parts, keys).select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns), at[0].alias(f"{side}i"), at[1].alias(f"{side}j"))
+        count = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(count, *(f"{side}_{k}" for k in keys), f"{side}i", f"{side}j")  # a number, as small rows make much work
+
+    on = (F.col("xi") == F.col("yi")) & (F.col("xj") == F.col("yj"))
     for k in keys:
-        on &= F.col(f"k_{k}") == F.col(f"l_{k}")
-    return a.join(b, on).select("file1", "file2", *(f"{c}{i}" for c in columns for i in (1, 2)))
+        on &= F.col(f"x_{k}") == F.col(f"y_{k}")
+    apart = (F.col("xi") < F.col("xj")) | (F.col("x_path") < F.col("y_path")) if within else F.col("x_path") != F.col("y_path")
+    return dealt(x, "x").join(dealt(y, "y"), on & apart)
+
+
+#: Of a pair, the smaller path and the larger.
+ENDS = (F.least, F.greatest)
+
+
+def ends() -> list:
+    return [f("x_path", "y_path").alias(f"file{k}") for k, f in enumerate(ENDS, 1)]
+
+
+def scored(pairs: DataFrame, similar: Column, threshold: float) -> DataFrame:
+    """file1, file2, similarity of the pairs that reach the threshold. What is added is 0, but Spark takes it as not deterministic and so
+    doesn't work out the similarity once in the join and once more after it."""
+    return pairs.select(*ends(), (similar + F.spark_partition_id() * 0.0).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def blocked_pairs(files: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Pairs of files with equal keys, the smaller path first."""
+    rows = materialise(files.select(*keys, "path", *columns), "near-rows")
+    both = dealt_pairs(rows, rows, keys, True)
+    ordered = F.col("x_path") < F.col("y_path")
+    sides = {1: ("x", "y"), 2: ("y", "x")}
+    return both.select(*ends(), *(F.when(ordered, F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(f"{c}{i}") for c in columns for i, (a, b) in sides.items()))
 
 
 def pair_counts(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,11 +145,31 @@ def image_pairs(images: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 def media_pairs(files: DataFrame, kind: str, threshold: float = 0.85) -> DataFrame:
     """Of videos or audio files (path, size, media_type, media_fingerprint) in the same size band. Bands run over all files of the
-    kind; those without a fingerprint have no pairs."""
-    rows = with_bands(files.where(F.col("media_type") == kind), MEDIA_TOLERANCE).where(F.col("media_fingerprint").isNotNull())
-    pairs = blocked_pairs(rows, ["band"], ["media_fingerprint"])
-    similar = bits.fingerprint_similarity(F.col("media_fingerprint1"), F.col("media_fingerprint2"))
-    return pairs.select("file1", "file2", similar.alias("similarity"), F.lit(f"{kind}-fingerprint").alias("algorithm"), F.lit(kind).alias("media_type")).where(F.col("similarity") >= threshold)
+    kind; those without a fingerprint have no pairs. All pairs of a band are compared, as numbers of 64 bits; those with a fingerprint of
+    more than bits.HEAD of them, or of other signs than 0 and 1, in a join of their own."""
+    mark = F.col("media_fingerprint")
+    rows = with_bands(files.where(F.col("media_type") == kind), MEDIA_TOLERANCE).where(mark.isNotNull())
+    plain, n = bits.plain_bits(mark), F.length(bits.fingerprint_bits(mark))
+    rows = rows.select("band", "path", mark, n.alias("n"), plain.alias("plain"), (plain & (n <= 64 * bits.HEAD)).alias("short"), F.when(plain, bits.fingerprint_words(mark)).alias("words"))
+    heads = [c for k in range(bits.HEAD) for c in (F.get("words", F.lit(k)).alias(f"w{k}"), bits.word_mask(F.col("n"), 64 * k).alias(f"m{k}"))]
+    rows = materialise(rows.select("*", *heads), "near-media")
+    a, b, v, w = ([F.col(f"{s}{k}") for k in range(bits.HEAD)] for s in ("x_w", "y_w", "x_m", "y_m"))
+    x, y = F.col("x_n"), F.col("y_n")
+    head = bits.share_alike(bits.head_distance(a, b, v, w, x, y), x, y)
+    short = rows.where("short")
+    some = short.drop("media_fingerprint", "plain", "short", "words")
+    found = scored(dealt_pairs(some, some, ["band"], True), head, threshold)
+    long = rows.where("NOT short")
+    if not long.isEmpty():
+        both = F.col("x_plain") & F.col("y_plain")
+        # The lengths, then the first words rule most pairs out.
+        may = (bits.share_alike(F.abs(x - y), x, y) >= threshold) & (~both | (head >= threshold))
+        similar = F.when(both, bits.share_alike(bits.words_distance(F.col("x_words"), F.col("y_words"), x, y), x, y)).otherwise(
+            bits.fingerprint_similarity(F.col("x_media_fingerprint"), F.col("y_media_fingerprint"))
+        )
+        for other, within in ((long, True), (short, False)):
+            found = found.unionByName(scored(dealt_pairs(long, other, ["band"], within).where(may), similar, threshold))
+    return found.select("file1", "file2", "similarity", F.lit(f"{kind}-fingerprint").alias("algorithm"), F.lit(kind).alias("media_type"))
 
 
 def hamming_search(queries: DataFrame, rows: DataFrame, radius: int, block: int = 4096) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltworks.config import CleanupOptions, NearOptions, ScanOptions
-from siltworks.functions import text
+from siltworks.functions import bits, text
 from siltworks.operators import banding, cleanup, components, exact, incremental, near, stats
 from siltworks.plans import catalog
 from siltworks.streaming.dedupe import StreamingDedupe
@@ -129,6 +129,37 @@ def test_media_pairs(spark):
     assert [(r.file1, r.file2, r.similarity) for r in near.media_pairs(d, "video").collect()] == [("a", "b", 1.0)]
 
 
+def test_media_pairs_of_any_lengths(spark, monkeypatch):
+    """Dealt out in small tasks: the pairs and similarities of the plain comparison, whatever the fingerprints' lengths and signs."""
+    monkeypatch.setattr(near, "DEALT", 8)
+    rng, rows = random.Random(4), []
+    for i, n in enumerate([0, 1, 56, 56, 64, 100, 320, 320, 321, 330, 640, 640] * 3):
+        flips = {rng.randrange(n) for _ in range(n // 25)} if n else set()
+        x = "".join(str((j * 7 // 3 + (j in flips)) % 2) for j in range(n))
+        rows.append((f"p{i}", 100, "audio", f"a1:64:{x}:y"))
+    rows += [("odd1", 100, "audio", "a1:64:01x1:y"), ("odd2", 100, "audio", "a1:64:01x1:z"), ("bare", 100, "audio", "a1"), ("none", 100, "audio", None), ("p3", 100, "audio", rows[2][3])]
+    d = spark.createDataFrame(rows, "path string, size bigint, media_type string, media_fingerprint string")
+    a, b = d.toDF(*(f"{c}1" for c in d.columns)), d.toDF(*(f"{c}2" for c in d.columns))
+    s = bits.fingerprint_similarity(F.col("media_fingerprint1"), F.col("media_fingerprint2"))
+    for threshold in (0.65, 0.85):
+        want = a.join(b, F.col("path1") < F.col("path2")).select("path1", "path2", s.alias("s")).where(F.col("s") >= threshold)
+        got = near.media_pairs(d, "audio", threshold).select("file1", "file2", "similarity")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+
+
+def test_many_media_files_of_one_band(spark):
+    import time
+
+    rng = random.Random(8)
+    marks = [rng.getrandbits(56) for _ in range(2000)]
+    d = spark.createDataFrame([(str(i), 100, "video", f"v1:5:{x:056b}:y") for i, x in enumerate(marks)], "path string, size bigint, media_type string, media_fingerprint string")
+    start = time.time()
+    got = {(r.file1, r.file2) for r in near.media_pairs(d, "video", 0.7).collect()}
+    took = time.time() - start
+    want = {tuple(sorted((str(i), str(j)))) for i in range(2000) for j in range(i) if 1 - (marks[i] ^ marks[j]).bit_count() / 56 >= 0.7}
+    assert got == want and len(want) > 100 and took < 60
+
+
 def test_image_pairs(spark):
     rows = [("a", ".png", "01" * 32, (10.0, 10.0, 10.0, 0.3)), ("b", ".png", "01" * 32, (12.0, 10.0, 10.0, 0.3)), ("c", ".jpg", "01" * 32, (10.0, 10.0, 10.0, 0.3)), ("d", ".png", "10" * 32, (200.0, 10.0, 10.0, 0.3))]
     d = spark.createDataFrame(rows, "path string, extension string, hash string, signature struct<r:double,g:double,b:double,variance:double>")
