@@ -57,5 +57,4 @@ def image_similarity(differing: Column, a: Column, b: Column) -> Column:
         .when((v < 0.05) | (w < 0.05), F.least(shape * weight + tint * (1 - weight), tint + 0.1))
         .otherwise(0.6 * shape + 0.4 * tint)
     )
-    similar = F.when(far > 0.2, F.least(similar, 1 - 0.8 * far)).otherwise(similar)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), similar))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), similar, F.when(far > 0.2, 1 - 0.8 * far).otherwise(F.lit(1.0))))

@@ -136,11 +136,11 @@ def text_pairs(files: DataFrame, options: NearOptions = NearOptions()) -> DataFr
 
 
 def image_pairs(images: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Of images (path, extension, hash, signature) with the same extension. hash: 64 bits as a string."""
-    rows = images.withColumn("packed", bits.packed(F.col("hash")))
-    pairs = blocked_pairs(rows, ["extension"], ["packed", "signature"])
-    differing = bits.packed_hamming(F.col("packed1"), F.col("packed2"))
-    return pairs.select("file1", "file2", color.image_similarity(differing, F.col("signature1"), F.col("signature2")).alias("similarity"), F.lit("combined").alias("algorithm")).where(F.col("similarity") >= threshold)
+    """Of images (path, extension, hash, signature) with the same extension. hash: 64 bits as a string. All pairs are compared."""
+    rows = materialise(images.select("extension", "path", bits.packed(F.col("hash")).alias("packed"), "signature"), "near-images")
+    differing = bits.packed_hamming(F.col("x_packed"), F.col("y_packed"))
+    similar = color.image_similarity(differing, F.col("x_signature"), F.col("y_signature"))
+    return scored(dealt_pairs(rows, rows, ["extension"], True), similar, threshold).withColumn("algorithm", F.lit("combined"))
 
 
 def media_pairs(files: DataFrame, kind: str, threshold: float = 0.85) -> DataFrame:

@@ -160,6 +160,17 @@ def test_many_media_files_of_one_band(spark):
     assert got == want and len(want) > 100 and took < 60
 
 
+def test_a_hot_key_of_pairs_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near, "DEALT", 8)
+    rows = [(f"f{i:03d}", ".png", f"{i:064b}", (10.0 + i % 3, 10.0, 10.0, 0.3)) for i in range(100)] + [("f000", ".jpg", "0" * 64, (10.0, 10.0, 10.0, 0.3)), (None, ".png", "0" * 64, (10.0, 10.0, 10.0, 0.3))]
+    d = spark.createDataFrame(rows, "path string, extension string, hash string, signature struct<r:double,g:double,b:double,variance:double>")
+    got = near.image_pairs(d, 0.85)
+    assert sorted((r.file1, r.file2) for r in got.collect()) == [(f"f{i:03d}", f"f{j:03d}") for i in range(100) for j in range(i + 1, 100)]
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    ordered = near.blocked_pairs(d, ["extension"], ["hash"])
+    assert all(r.file1 < r.file2 and (int(r.hash1, 2), int(r.hash2, 2)) == (int(r.file1[1:]), int(r.file2[1:])) for r in ordered.collect()) and ordered.count() == 4950
+
+
 def test_image_pairs(spark):
     rows = [("a", ".png", "01" * 32, (10.0, 10.0, 10.0, 0.3)), ("b", ".png", "01" * 32, (12.0, 10.0, 10.0, 0.3)), ("c", ".jpg", "01" * 32, (10.0, 10.0, 10.0, 0.3)), ("d", ".png", "10" * 32, (200.0, 10.0, 10.0, 0.3))]
     d = spark.createDataFrame(rows, "path string, extension string, hash string, signature struct<r:double,g:double,b:double,variance:double>")
