@@ -21,6 +21,11 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(text, "[^A-Za-z0-9_]+"), ""))
 
 
+def word_hashes(text: Column) -> Column:
+    """The word set as 64-bit hashes: sets of numbers are made and compared much faster than sets of strings."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(text, "[^A-Za-z0-9_]+"), ""), lambda x: F.xxhash64(x)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets of words: 1 if both are empty, 0 if one is."""
     common = F.size(F.array_intersect(a, b))
@@ -46,7 +51,7 @@ def common_prefix(a: str, b: str) -> int:
 
 def distance(a: str, b: str, room: int | None = None) -> int | None:
     """Levenshtein distance in code points, None if it is more than room. What is looked at is a band around the table's
-    diagonal, a narrow one first: near texts differ little, so the time is about that of reading them."""
+    diagonal, one of 256 first: near texts differ little, so the time is about that of reading them."""
     k = common_prefix(a, b)
     a, b = a[k:], b[k:]
     k = common_prefix(a[::-1], b[::-1])
@@ -58,7 +63,7 @@ def distance(a: str, b: str, room: int | None = None) -> int | None:
         return None
     if not a:
         return len(b)
-    k = max(32, len(b) - len(a))
+    k = max(256, len(b) - len(a))
     while k < room:
         if (found := banded(a, b, k)) is not None:
             return found

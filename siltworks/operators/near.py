@@ -16,13 +16,13 @@ from .components import components
 EPS = 1e-9
 
 
-#: Rows of a block that are dealt out together: a task of a join compares the square of it.
+#: Rows of a block; a task compares the square of it, or more.
 DEALT = 4096
 
 
-def dealt_pairs(x: DataFrame, y: DataFrame, keys: list[str], within: bool) -> DataFrame:
-    """Rows of x beside those of y (their columns named x_ and y_) with equal keys and different paths, in tasks of DEALT by DEALT rows, so that
-    a hot key is many tasks: a key's rows are dealt out by the hash of their path. within: y is x, and each
+def dealt_pairs(x: DataFrame, y: DataFrame, keys: list[str], within: bool, size: int | None = None) -> DataFrame:
+    """Rows of x beside those of y (their columns named x_ and y_) with equal keys and different paths, in blocks of size by size rows
+    (DEALT), so that a hot key is many tasks: a key's rows are dealt out by the hash of their path. within: y is x, and each
     pair is made once, in no certain order."""
     known = F.lit(True)
     for c in (*keys, "path"):
@@ -30,7 +30,7 @@ def dealt_pairs(x: DataFrame, y: DataFrame, keys: list[str], within: bool) -> Da
     x, y = x.where(known), y.where(known)
 
     def cut(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias(name))
+        return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / (size or DEALT)).cast("int").alias(name))
 
     parts = cut(x, "i_")
     parts = parts.withColumn("j_", F.col("i_")) if within else parts.join(cut(y, "j_"), keys)
@@ -58,10 +58,15 @@ def ends() -> list:
     return [f("x_path", "y_path").alias(f"file{k}") for k, f in enumerate(ENDS, 1)]
 
 
+def once(value: Column) -> Column:
+    """value, a double. What is added is 0, but Spark takes it as not deterministic and so doesn't work it out in a join's condition
+    and once more after it."""
+    return value + F.spark_partition_id() * 0.0
+
+
 def scored(pairs: DataFrame, similar: Column, threshold: float) -> DataFrame:
-    """file1, file2, similarity of the pairs that reach the threshold. What is added is 0, but Spark takes it as not deterministic and so
-    doesn't work out the similarity once in the join and once more after it."""
-    return pairs.select(*ends(), (similar + F.spark_partition_id() * 0.0).alias("similarity")).where(F.col("similarity") >= threshold)
+    """file1, file2, similarity of the pairs that reach the threshold."""
+    return pairs.select(*ends(), once(similar).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def blocked_pairs(files: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -79,37 +84,68 @@ def pair_counts(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.groupBy(*keys).agg(n.alias("n_files"), (n * (n - 1) / 2).cast("long").alias("n_pairs"))
 
 
+#: Numbers of 64 bits that a sketch of a file's words has, by the largest band (its least bytes) of such files. A sketch tells unlike files
+#: apart as long as it has about as many bits as each has words; of larger files still more pairs are compared by their words.
+SKETCHES = ((8, 2400), (64, None))
+#: Rows of a block of sketches.
+SKETCHED = 16384
+
+
+def sketched(texts: DataFrame, longs: int) -> DataFrame:
+    """id, path, band, extension, n, s: how many words each text has, and numbers of 64 bits, so many, of which each word flips one bit."""
+    place = F.pmod(F.coalesce("word", F.lit(0).cast("long")), F.lit(64 * longs)).cast("int")
+    words = texts.select("id", F.explode_outer(text.word_hashes(F.col("text"))).alias("word"))
+    bit = F.when(F.col("word").isNull(), F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63))))
+    # One number after the other, then a row for each text: a word costs the same however long the sketch is.
+    part = words.groupBy("id", F.shiftright(place, 6).alias("k")).agg(F.bit_xor(bit).alias("s"), F.count("word").alias("n"))
+    part = part.groupBy("id").agg(F.sum("n").cast("int").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", "s"))).alias("s"))
+    all_of = F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda k: F.coalesce(F.try_element_at("s", k), F.lit(0).cast("long")))
+    found = part.select("id", "n", all_of.alias("s"))
+    return texts.select("id", "path", "band", "extension").join(found, "id")
+
+
+def alike_words(texts: DataFrame, least: float) -> DataFrame:
+    """file1, file2, words, x, y: pairs of texts (id, path, band, extension, text) of a block (band, extension) whose word sets have the
+    Jaccard similarity least, words, at least; the texts come along. All pairs of a block are held against each other by
+    sketches: bits that differ are words that aren't shared, at least. What that leaves is decided on the words."""
+    found, low = None, None
+    for longs, high in SKETCHES:
+        some = texts if low is None else texts.where(F.col("band") > low)
+        rows = materialise(sketched(some if high is None else some.where(F.col("band") <= high), longs), "near-sketches")
+        low = high
+        rows = rows.select("id", "path", "band", "extension", F.coalesce("n", F.lit(0)).alias("n"), *(F.coalesce(F.get("s", F.lit(k)), F.lit(0).cast("long")).alias(f"s{k}") for k in range(longs)))
+        n, m = F.col("x_n"), F.col("y_n")
+        unlike = sum((F.bit_count(F.col(f"x_s{k}").bitwiseXOR(F.col(f"y_s{k}"))) for k in range(1, longs)), F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))))
+        close = (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - EPS) & (unlike * (1 + least) <= (1 - least) * (n + m) + EPS)
+        pairs = dealt_pairs(rows, rows, ["band", "extension"], True, SKETCHED).where(close)
+        ordered = F.col("x_path") < F.col("y_path")
+        ids = (F.when(ordered, F.col(f"{i}_id")).otherwise(F.col(f"{j}_id")).alias(f"id{k}") for k, (i, j) in enumerate((("x", "y"), ("y", "x")), 1))
+        pairs = pairs.select(*ids, *ends())
+        found = pairs if found is None else found.unionByName(pairs)
+    found = materialise(found, "near-candidates")
+    count = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A number of tasks is given, as comparing texts is more work than their bytes tell.
+    for k, c in ((1, "x"), (2, "y")):
+        found = found.repartition(count, f"id{k}").join(texts.select(F.col("id").alias(f"id{k}"), F.col("text").alias(c)).repartition(count, f"id{k}"), f"id{k}")
+    words = text.jaccard(text.word_hashes(F.col("x")), text.word_hashes(F.col("y")))
+    return found.select("file1", "file2", once(words).alias("words"), "x", "y").where(F.col("words") >= least - EPS)
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """path, band, extension, text and an id of each row with a text, written."""
+    rows = files.where(F.col("text").isNotNull()).select("path", "band", "extension", "text")
+    return materialise(rows.withColumn("id", F.monotonically_increasing_id()), "near-texts", "zstd")
+
+
+def least_words(threshold: float) -> float:
+    """As the edit similarity is 1 at most, the words' similarity is this at least."""
+    return (threshold - text.ALPHA) / text.BETA
+
+
 def text_candidates(files: DataFrame, threshold: float) -> DataFrame:
     """file1, file2, words: pairs of a block (band, extension) whose word sets' Jaccard similarity, words, may reach
-    the threshold. Words are told apart by 64-bit hashes. As the edit similarity is 1 at most, words is (threshold - 0.6) / 0.4 at least: so two files
-    share a word among the rarest of each, and only such pairs are formed. Files without words match among
-    themselves alone (words 1). With a threshold of 0.6 or less all pairs of a block are formed."""
-    least = (threshold - text.ALPHA) / text.BETA
-    rows = files.select("path", "band", "extension", F.transform(text.word_set(F.col("text")), lambda x: F.xxhash64(x)).alias("w")).withColumn("n", F.size("w"))
-    rows = materialise(rows, "near-words")
-    if least <= 0:
-        pairs = blocked_pairs(rows, ["band", "extension"], ["w"])
-        return pairs.select("file1", "file2", text.jaccard(F.col("w1"), F.col("w2")).alias("words"))
-    words = rows.where("n > 0").select("path", "band", "extension", "n", F.explode("w").alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words.join(counts, "word").groupBy("path", "band", "extension", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
-    length = F.col("n") - F.ceil(F.lit(least) * F.col("n") - EPS) + 1
-    prefix = ranked.select("path", "band", "extension", "n", F.posexplode(F.slice("w", F.lit(1), length.cast("int"))).alias("place", "r"))
-    # A word that one file alone has makes no pair.
-    prefix = materialise(prefix.where("r.df > 1").select("path", "band", "extension", "n", "place", F.col("r.word").alias("word")), "near-prefixes")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    need = F.lit(least / (1 + least)) * (F.col("a.n") + F.col("b.n")) - EPS
-    left = F.least("a.place", "b.place") + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    same = (F.col("a.word") == F.col("b.word")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.extension") == F.col("b.extension")) & (F.col("a.path") < F.col("b.path"))
-    close = (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - EPS) & (left >= need)
-    pairs = a.join(b, same & close).select(F.col("a.path").alias("file1"), F.col("b.path").alias("file2")).distinct()
-    sets1, sets2 = rows.select(F.col("path").alias("file1"), F.col("w").alias("w1"), F.col("n").alias("n1")), rows.select(F.col("path").alias("file2"), F.col("w").alias("w2"), F.col("n").alias("n2"))
-    common, both = F.size(F.array_intersect("w1", "w2")), F.col("n1") + F.col("n2")
-    # The sets are compared once to rule pairs out; what is left is little.
-    found = pairs.join(sets1, "file1").join(sets2, "file2").where(common * (1 + least) >= least * both - EPS)
-    found = found.select("file1", "file2", (common / (both - common)).alias("words"))
-    wordless = blocked_pairs(rows.where("n = 0"), ["band", "extension"], []).select("file1", "file2", F.lit(1.0).alias("words"))
-    return found.unionByName(wordless)
+    the threshold. Words are told apart by 64-bit hashes. Files without words match among themselves alone (words 1). With a threshold of 0.6 or less all pairs of a block are given."""
+    return alike_words(numbered(files), least_words(threshold)).select("file1", "file2", "words")
 
 
 def text_pairs(files: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
@@ -119,17 +155,14 @@ def text_pairs(files: DataFrame, options: NearOptions = NearOptions()) -> DataFr
     its lengths: Python's long integers do 64 steps at a time, which Spark's function, at seconds for a pair of 20,000 letters, doesn't."""
     t = options.threshold
     files = files.where(F.col("extension").isin(*options.text_extensions) & (F.col("size") <= options.max_text_bytes))
-    files = materialise(with_bands(files, TEXT_TOLERANCE).select("path", "band", "extension", text.normalise(F.col("text")).alias("text")), "near-texts")
-    pairs = text_candidates(files, t)
-    a, b = files.select(F.col("path").alias("file1"), F.col("text").alias("x")), files.select(F.col("path").alias("file2"), F.col("text").alias("y"))
-    both = pairs.join(a, "file1").join(b, "file2")
+    files = with_bands(files, TEXT_TOLERANCE).withColumn("text", text.normalise(F.col("text")))
+    both = alike_words(numbered(files), least_words(t))
     n, m = F.length("x"), F.length("y")
     longest = F.greatest(n, m)
     room = F.floor(longest * (1 - (F.lit(t) - text.BETA * F.col("words")) / text.ALPHA) + EPS)
     both = both.where((F.abs(n - m) <= room) | (longest == 0))
-    count = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Written, so that no filter after it makes Python work out a distance twice.
-    both = both.repartition(4 * count, "file1", "file2").select("file1", "file2", "words", n.alias("n"), m.alias("m"), text.edit_distance("x", "y", room).alias("distance"))
+    both = both.select("file1", "file2", "words", n.alias("n"), m.alias("m"), text.edit_distance("x", "y", room).alias("distance"))
     both = materialise(both, "near-distances").where("distance IS NOT NULL")
     similar = text.combined(text.edit_similarity(F.col("distance"), F.col("n"), F.col("m")), F.col("words"))
     return both.select("file1", "file2", similar.alias("similarity"), F.lit("combined").alias("algorithm")).where(F.col("similarity") >= t - EPS)

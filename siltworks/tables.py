@@ -31,10 +31,10 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+def materialise(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again. Nothing needs the shuffles behind the table any more; the
     driver's JVM is asked to collect its garbage, at which Spark removes their files from the executors."""
     path = shared_path(df.sparkSession, what) + "/table"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

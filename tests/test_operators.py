@@ -113,6 +113,33 @@ def test_pruning_loses_no_pair(spark, threshold):
     assert got == want and len(want) > 20
 
 
+def test_few_text_pairs_are_compared_by_words(spark, monkeypatch):
+    """Unlike texts of common words aren't brought together; short and long texts, none, and rows that repeat a path have all their pairs."""
+    monkeypatch.setattr(near, "SKETCHED", 50)
+    rng, rows = random.Random(5), []
+    for n, size, words in ((240, 100, 400), (60, 1200, 3000)):
+        for i in range(n):
+            some = rng.sample(range(words), size)
+            rows.append((f"/{size}/{i:03d}.txt", " ".join(f"w{x:05d}" for x in some)))
+            if i % 6 == 0:
+                rows.append((f"/{size}/{i:03d}.like.txt", " ".join(f"w{x:05d}" for x in some[: size * 9 // 10] + rng.sample(range(words), size // 10))))
+    rows += [("/e1.txt", "..."), ("/e2.txt", "!!!"), ("/e3.txt", None), ("/100/000.txt", rows[0][1])]
+    d = spark.createDataFrame(rows, "path string, text string").withColumn("size", F.octet_length("text").cast("bigint")).withColumn("extension", F.lit(".txt"))
+    banded = banding.with_bands(d, 0.2)
+    made = {}
+
+    def counted(df, what, *more, keep=near.materialise):
+        made[what] = keep(df, what, *more)
+        return made[what]
+
+    monkeypatch.setattr(near, "materialise", counted)
+    got = sorted((r.file1, r.file2, round(r.words, 9)) for r in near.text_candidates(banded, 0.85).collect())
+    sets = [(r.path, r.band, frozenset(w for w in r.text.replace(".", " ").replace("!", " ").split())) for r in banded.where("text IS NOT NULL").collect()]
+    share = lambda x, y: len(x & y) / len(x | y) if x or y else 1.0
+    want = sorted((p, q, round(share(x, y), 9)) for p, b, x in sets for q, c, y in sets if b == c and p < q and share(x, y) >= 0.625 - 1e-9)
+    assert got == want and len(want) > 45 and made["near-candidates"].count() < 1.2 * len(want)
+
+
 def test_near_groups(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.86), ("x", "y", 1.0)], "file1 string, file2 string, similarity double")
     members = near.near_members(pairs, "text")
