@@ -22,8 +22,8 @@ def word_set(text: Column) -> Column:
 
 
 def word_hashes(text: Column) -> Column:
-    """The word set as 64-bit hashes: sets of numbers are made and compared much faster than sets of strings."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(text, "[^A-Za-z0-9_]+"), ""), lambda x: F.xxhash64(x)))
+    """The word set as 64-bit hashes. \\W is the same class of signs as in word_set, and Java looks it up several times as fast."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(text, "\\W+"), ""), lambda x: F.xxhash64(x)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -18,6 +18,12 @@ def test_text_normalise_and_words(spark):
     assert one(spark, text.word_set(F.lit("a中b a_1 A"))) == (["a", "b", "a_1", "A"],)
 
 
+@pytest.mark.parametrize("x", ["a中b a_1 A", "", "...", "é٣_x\u00a0Z9 ſ K\U0001f600q", "a a A"])
+def test_word_hashes_are_of_the_word_set(spark, x):
+    got, want = one(spark, text.word_hashes(F.lit(x)), F.transform(text.word_set(F.lit(x)), lambda w: F.xxhash64(w)))
+    assert got == want
+
+
 @pytest.mark.parametrize("path, ext, name", [("/a/x.TXT", ".txt", "x.TXT"), ("/a/.gitignore", "(no extension)", ".gitignore"), ("/a.b/c", "(no extension)", "c"), ("/a/b.tar.gz", ".gz", "b.tar.gz"), ("/a/b.", ".", "b.")])
 def test_paths(spark, path, ext, name):
     assert one(spark, paths.extension(F.lit(path)), paths.basename(F.lit(path))) == (ext, name)
