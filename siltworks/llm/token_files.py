@@ -5,11 +5,14 @@ columns, or the row groups and pages of some documents, without the rest."""
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from itertools import compress, repeat
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import Published, open_fs, shared_path
 
-#: Parts of texts that a worker remembers the ids of.
+#: Pieces and parts of texts that a worker remembers the ids of.
 REMEMBERED = 800_000
 #: How a tokenizer whose parts are remembered cuts texts.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-case ASCII.
+PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
 #: Tokens in a row group, at most one document more.
 GROUP_TOKENS = 1 << 20
 FILE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("tokens", pa.list_(pa.int32()))])
@@ -46,10 +51,11 @@ def cuts_at_blanks(model: str) -> bool:
 
 class Encoder:
     """Ids of texts by the tokenizers library. Where the tokenizer lower-cases, cuts at white space and between
-    letters and other signs before anything else (`cuts_at_blanks`), a piece between blanks has the ids of its lower case,
-    and of the part before a last ASCII full stop or comma after a letter, followed by the sign's. Each such part is
-    encoded once and remembered; REMEMBERED bounds the memory. Texts that may hold a special token's name,
-    which isn't lower-cased, are encoded as they are, as are all texts by any other tokenizer."""
+    letters and other signs before anything else (`cuts_at_blanks`), a piece between blanks has the ids of its lower case. Of
+    ASCII pieces these are the ids of the parts that it is cut to, one after the other; of others those of the part before a last
+    full stop or comma after an ASCII letter, followed by the sign's. Each piece and part is encoded once and remembered;
+    REMEMBERED bounds how many. Texts that may hold a special token's name, which isn't lower-cased, are encoded as they
+    are, as are all texts by any other tokenizer."""
 
     def __init__(self, model: str):
         import os
@@ -57,59 +63,121 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.by_parts = Tokenizer.from_str(model), {}, cuts_at_blanks(model)
+        self.tokenizer, self.by_parts = Tokenizer.from_str(model), cuts_at_blanks(model)
+        self.known: dict[bytes, int] = {}  # where a piece is in starts and lengths, which tell its ids' place in values
+        self.starts, self.lengths, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.values, self.used = np.zeros(1 << 18, "<u4"), 0
         if not self.by_parts:
             return
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
-        self.signs = {c: self.encode([bytes([c])])[0] for c in b".,"}
 
     def encode(self, parts: list[bytes]) -> list[bytes]:
         out = []
         for i in range(0, len(parts), 2000):
-            found = self.tokenizer.encode_batch([p.decode() for p in parts[i : i + 2000]], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in parts[i : i + 2000]], add_special_tokens=False)
             out += [np.array(e.ids, "<u4").tobytes() for e in found]
         return out
 
-    def remember(self, parts: list[bytes]) -> None:
+    def add(self, parts: list[bytes], values: np.ndarray, lengths: np.ndarray) -> None:
+        """Remembers parts with their ids one after the other in values."""
+        n, size = len(self.known), self.used + len(values)
+        if n + len(parts) > len(self.starts):
+            self.starts, self.lengths, self.hits = (np.resize(x, 2 * (n + len(parts))) for x in (self.starts, self.lengths, self.hits))
+        if size > len(self.values):
+            self.values = np.resize(self.values, 2 * size)
+        self.values[self.used : size] = values
+        self.lengths[n : n + len(parts)] = lengths
+        self.starts[n : n + len(parts)] = self.used + np.cumsum(lengths) - lengths
+        self.hits[n : n + len(parts)] = 0
+        self.known.update(zip(parts, range(n, n + len(parts))))
+        self.used = size
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered pieces one after the other, and how many each has."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        place = np.repeat(self.starts[at] - ends + lengths, lengths)
+        place += np.arange(len(place))
+        return self.values[place], lengths
+
+    def encode_parts(self, parts: list[bytes]) -> None:
         """Words of letters alone are encoded many at a time, with blanks between: each ends with a token that
         ends a word. Where their number isn't that of the words, and for all else, each part is encoded."""
-        texts = [p.decode() for p in parts]
-        words = [x for x in texts if x.isalpha() and len(x) < 100]
-        single = [p for p, x in zip(parts, texts) if not (x.isalpha() and len(x) < 100)]
-        for i in range(0, len(words), 200):
-            some = words[i : i + 200]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                data, at = ids.tobytes(), 0
-                for x, end in zip(some, ends):
-                    self.known[x.encode()] = data[4 * at : 4 * end]
-                    at = end
+        words, single = [], []
+        for p in parts:
+            (words if len(p) < 100 and (p.isalpha() or p.decode().isalpha()) else single).append(p)
+        some = [words[i : i + 200] for i in range(0, len(words), 200)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in some], add_special_tokens=False)
+        for x, e in zip(some, found):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(x) and ends[-1] == len(ids):
+                self.add(x, ids, np.diff(ends, prepend=0))
             else:
-                single += [x.encode() for x in some]
-        self.known.update(zip(single, self.encode(single)))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+                single += x
+        ids = self.encode(single)
+        self.add(single, np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64))
+
+    def remember(self, pieces: list[bytes]) -> None:
+        """Pieces, none of them known, each once."""
+        known, parts, words, cut = self.known, set(), [], []
+        for p in pieces:
+            if p.isalpha():
+                words.append(p)
+                continue
+            if p.isascii():
+                found = PARTS(p)
+            else:
+                found = [p[:-1], p[-1:]] if p.endswith((b".", b",")) and 97 <= p[-2] <= 122 else [p]
+            parts.update(found)
+            if len(found) != 1:
+                cut.append((p, found))
+        parts.difference_update(words)
+        self.encode_parts(words + [p for p in parts if p not in known])
+        counts = np.array([len(x) for _, x in cut], np.int64)
+        ids, lengths = self.gather(np.fromiter((known[q] for _, x in cut for q in x), np.int64, counts.sum()))
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
+        self.add([p for p, _ in cut], ids, np.diff(ends, prepend=0))
+
+    def forget(self) -> None:
+        """All but the pieces that most batches had, half of REMEMBERED at most."""
+        n, least = len(self.known), 2
+        while np.count_nonzero(self.hits[:n] >= least) > REMEMBERED // 2:
+            least += 1
+        kept = self.hits[:n] >= least
+        pieces, hits = list(compress(self.known, kept.tolist())), self.hits[:n][kept]
+        ids, lengths = self.gather(np.flatnonzero(kept))
+        self.known, self.used = {}, 0
+        self.add(pieces, ids, lengths)
+        self.hits[: len(pieces)] = hits // 2
+
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def ids(self, texts) -> list[bytes]:
+        """For each text (a list, or pyarrow's array of strings) its ids as little-endian unsigned 32-bit integers."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not self.by_parts:
-            return self.encode([x.encode() for x in texts])
-        pieces = [[] if "<|" in x else x.encode().lower().split() for x in texts]
-        known, signs = self.known, self.signs
-        distinct = set().union(*pieces)
-        new = distinct.difference(known)
-        if len(known) + len(new) > REMEMBERED:  # what this batch has too stays: mostly frequent words
-            known = self.known = {p: known[p] for p in distinct.difference(new)}
-        ended = [p for p in new if p.endswith((b".", b",")) and len(p) > 1 and 97 <= p[-2] <= 122]
-        new.difference_update(ended)
-        new.update(p[:-1] for p in ended)
-        self.remember(list(new.difference(known)))
-        for p in ended:
-            known[p] = known[p[:-1]] + signs[p[-1]]
-        out = [b"".join(map(known.__getitem__, x)) for x in pieces]
-        for i, x in enumerate(texts):
-            if "<|" in x:
-                out[i] = self.encode([x.encode()])[0]
+            return self.encode([x.encode() for x in texts.to_pylist()])
+        special = pc.match_substring(texts, "<|")
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
+        bounds, coded = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        pieces = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        at = self.places(pieces)
+        if len(self.known) + np.count_nonzero(at < 0) > REMEMBERED:
+            self.forget()
+            at = self.places(pieces)
+        unknown = np.flatnonzero(at < 0)
+        new = [pieces[i] for i in unknown.tolist()]
+        self.remember(new)
+        at[unknown] = self.places(new)
+        self.hits[at] += 1
+        ids, lengths = self.gather(at[coded.indices.to_numpy()])
+        bounds, data = (4 * np.concatenate([[0], np.cumsum(lengths)])[bounds - bounds[0]]).tolist(), ids.tobytes()
+        out = [data[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+            out[i] = self.encode([texts[i].as_py().encode()])[0]
         return out
 
 
@@ -124,18 +192,16 @@ def encoder(model: str) -> Encoder:
     return ENCODERS[model]
 
 
-def batched(column, most_chars: int = 3_000_000):
-    """Slices of a column of strings with about so many bytes at most, or one text."""
-    part, size = [], 0
-    for x in column:
-        x = x.as_py() or ""
-        if part and size + len(x) > most_chars:
-            yield part
-            part, size = [], 0
-        part.append(x)
-        size += len(x)
-    if part:
-        yield part
+def batched(column: pa.Array, most_bytes: int = 3_000_000):
+    """Slices of a column of strings (null: empty) with about so many bytes at most, or one text."""
+    column = pc.fill_null(column, "")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield column.slice(at, end - at)
+        at = end
 
 
 def writer(sink) -> pq.ParquetWriter:

@@ -71,3 +71,54 @@ def test_other_tokenizers_encode_whole_texts():
     assert mine.ids(texts) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in (library.encode(t, add_special_tokens=False) for t in texts)]
     with open(tokenizer_path()) as f:
         assert Encoder(f.read()).by_parts
+
+
+class Recorder:
+    """A tokenizer that notes what it is asked to encode."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def __getattr__(self, name):
+        def call(texts, **options):
+            self.asked += " ".join([texts] if isinstance(texts, str) else texts).split()
+            return getattr(self.tokenizer, name)(texts, **options)
+
+        return call
+
+
+def test_parts_of_pieces_are_encoded_once(tokenizer, monkeypatch):
+    from siltworks.llm import token_files
+
+    def ids(texts):
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in (tokenizer.encode(t, add_special_tokens=False) for t in texts)]
+
+    with open(tokenizer_path()) as f:
+        encoder = Encoder(f.read())
+    encoder.ids(["alpha beta gamma"])
+    encoder.tokenizer = seen = Recorder(encoder.tokenizer)
+    texts = ["(Alpha) beta! alpha-beta?", "gamma's 12 ''s", "Beta."]
+    assert encoder.ids(texts) == ids(texts)
+    assert sorted(seen.asked) == sorted(["(", ")", "!", "-", "?", "'s", "1", "2", "''", "s", "."])
+    seen.asked.clear()
+    monkeypatch.setattr(token_files, "REMEMBERED", 20)
+    for i in range(30):
+        texts = [f"often {'x' * (i + 1)} q{'y' * i}z often."]
+        assert encoder.ids(texts) == ids(texts)
+    assert seen.asked.count("often") == 1 and len(encoder.known) <= 25
+
+
+def test_encoder_is_the_library_on_ascii(tokenizer, monkeypatch):
+    import random
+
+    from siltworks.llm import token_files
+
+    rng = random.Random(6)
+    parts = [chr(i) for i in range(128)] + ["'s", "'ll", "'", "''", "don't", "word", "Word.", "\x1c", "\x1f", "\x85", " ", "été.", "ça,", "́"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    with open(tokenizer_path()) as f:
+        encoder = Encoder(f.read())
+    assert encoder.ids(texts) == want
+    monkeypatch.setattr(token_files, "REMEMBERED", 300)
+    assert [x for i in range(0, 3000, 50) for x in encoder.ids(texts[i : i + 50])] == want
