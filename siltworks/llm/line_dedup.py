@@ -20,7 +20,7 @@ ROW_BITS = 8
 ZERO = 48
 #: In a posting list of more lines, they are held against its earliest line first. Going through the pairs of shorter lists takes
 #: little: filters are compiled code, and of a line's candidates the earliest alone is kept.
-HOT = 1024
+HOT = 512
 #: Marks posting words that may have so long a list, as their cells' words occur so often.
 OFTEN = 1 << 30
 
@@ -117,7 +117,7 @@ def line_sets(docs: DataFrame, firsts: DataFrame, ranks: bytearray, least: Jacca
     def ranked(g):
         return F.shiftleft(at(ranks, g).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(g, 8))
 
-    w = F.transform(F.array_distinct(F.split("line", " ")), lambda x: F.xxhash64(x))
+    w = F.array_distinct(F.transform(F.split("line", " "), lambda x: F.xxhash64(x)))
     w = F.array_remove(w, F.xxhash64(F.lit("")))
     x = lines_of(docs).select("h1", "h2", F.sort_array(F.transform(w, ranked)).alias("w"))
     n = F.size("w")

@@ -63,3 +63,21 @@ def test_odd_rows(spark):
     texts = {r.doc_id: r.text for r in cut.collect()}
     assert texts[13] == "same line\n\nother words here now" and texts[5] is None and texts[2] == ""
     assert line_decisions(cases.empty(spark)).count() == 0
+
+
+def test_pairs_of_a_large_group_are_not_all_made(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(30)]
+    rows = [(i, " ".join([*base, f"n{i}"])) for i in range(800)]
+    rng.shuffle(rows)
+    made, pairs_of = [], line_dedup.pairs_of
+
+    def counted(*args):
+        found = pairs_of(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "pairs_of", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.removed_lines for r in line_decisions(d).collect()} == brute(rows)
+    assert sum(made) <= 10 * len(rows)
