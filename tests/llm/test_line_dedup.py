@@ -1,6 +1,7 @@
 import random
 
 import cases
+from pyspark.sql import functions as F
 
 from siltworks.llm import line_dedup
 from siltworks.llm.line_dedup import line_decisions, without_repeated_lines
@@ -81,3 +82,37 @@ def test_pairs_of_a_large_group_are_not_all_made(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.removed_lines for r in line_decisions(d).collect()} == brute(rows)
     assert sum(made) <= 10 * len(rows)
+
+
+def test_further_candidates_are_tried_without_a_second_join(spark, monkeypatch):
+    rows = fixture(120)
+    rows += [(1000 - doc, text) for doc, text in rows]
+    made, pairs_of = [], line_dedup.pairs_of
+
+    def counted(*args):
+        made.append(1)
+        return pairs_of(*args)
+
+    monkeypatch.setattr(line_dedup, "pairs_of", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    monkeypatch.setattr(line_dedup, "FEW", 1000, raising=False)
+    assert {r.doc_id: r.removed_lines for r in line_decisions(d).collect()} == want
+    assert len(made) == 1
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    assert {r.doc_id: r.removed_lines for r in line_decisions(d).collect()} == want
+    assert len(made) == 3
+
+
+def test_both_sides_of_the_join_share_a_shuffle(spark):
+    names = "word int, place int, id long, n int, sketch long, sketch2 long"
+    x = spark.createDataFrame([(1, p, i, n, 0, 0) for i, (p, n) in enumerate([(0, 10), (1, 10), (0, 9), (3, 12)])], names)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = line_dedup.all_pairs(x, line_dedup.Jaccard())
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    every = line_dedup.pairs_of(x, x, F.col("x.id") < F.col("y.id"), line_dedup.Jaccard())
+    assert sorted(found.collect()) == sorted(every.collect()) != []
