@@ -49,25 +49,29 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
-def distance(a: str, b: str, room: int | None = None) -> int | None:
-    """Levenshtein distance in code points, None if it is more than room. What is looked at is a band around the table's
-    diagonal, one of 256 first: near texts differ little, so the time is about that of reading them."""
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Without what both begin and end with, the shorter first."""
     k = common_prefix(a, b)
     a, b = a[k:], b[k:]
     k = common_prefix(a[::-1], b[::-1])
     a, b = a[: len(a) - k], b[: len(b) - k]
-    if len(a) > len(b):
-        a, b = b, a
+    return (b, a) if len(a) > len(b) else (a, b)
+
+
+def distance(a: str, b: str, room: int | None = None, first: int = 256) -> int | None:
+    """Levenshtein distance in code points, None if it is more than room. What is looked at is a band around the table's
+    diagonal, one of first: near texts differ little, so the time is about that of reading them."""
+    a, b = trimmed(a, b)
     room = len(b) if room is None else min(room, len(b))
     if len(b) - len(a) > room:
         return None
     if not a:
         return len(b)
-    k = max(256, len(b) - len(a))
+    k = max(first, len(b) - len(a))
     while k < room:
         if (found := banded(a, b, k)) is not None:
             return found
-        k *= 8
+        k *= 4
     return banded(a, b, room)
 
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MEDIA_TOLERANCE, TEXT_TOLERANCE, NearOptions
-from ..functions import bits, color, text
+from ..functions import bits, color, sketch, text
 from ..tables import materialise
 from .banding import with_bands
 from .components import components
@@ -84,57 +88,125 @@ def pair_counts(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.groupBy(*keys).agg(n.alias("n_files"), (n * (n - 1) / 2).cast("long").alias("n_pairs"))
 
 
-#: Numbers of 64 bits that a sketch of a file's words has, by the largest band (its least bytes) of such files. A sketch tells unlike files
-#: apart as long as it has about as many bits as each has words; of larger files still more pairs are compared by their words.
-SKETCHES = ((8, 2400), (64, None))
-#: Rows of a block of sketches.
-SKETCHED = 16384
-
-
-def sketched(texts: DataFrame, longs: int) -> DataFrame:
-    """id, path, band, extension, n, s: how many words each text has, and numbers of 64 bits, so many, of which each word flips one bit."""
-    place = F.pmod(F.coalesce("word", F.lit(0).cast("long")), F.lit(64 * longs)).cast("int")
-    words = texts.select("id", F.explode_outer(text.word_hashes(F.col("text"))).alias("word"))
-    bit = F.when(F.col("word").isNull(), F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63))))
-    # One number after the other, then a row for each text: a word costs the same however long the sketch is.
-    part = words.groupBy("id", F.shiftright(place, 6).alias("k")).agg(F.bit_xor(bit).alias("s"), F.count("word").alias("n"))
-    part = part.groupBy("id").agg(F.sum("n").cast("int").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", "s"))).alias("s"))
-    all_of = F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda k: F.coalesce(F.try_element_at("s", k), F.lit(0).cast("long")))
-    found = part.select("id", "n", all_of.alias("s"))
-    return texts.select("id", "path", "band", "extension").join(found, "id")
-
-
-def alike_words(texts: DataFrame, least: float) -> DataFrame:
-    """file1, file2, words, x, y: pairs of texts (id, path, band, extension, text) of a block (band, extension) whose word sets have the
-    Jaccard similarity least, words, at least; the texts come along. All pairs of a block are held against each other by
-    sketches: bits that differ are words that aren't shared, at least. What that leaves is decided on the words."""
-    found, low = None, None
-    for longs, high in SKETCHES:
-        some = texts if low is None else texts.where(F.col("band") > low)
-        rows = materialise(sketched(some if high is None else some.where(F.col("band") <= high), longs), "near-sketches")
-        low = high
-        rows = rows.select("id", "path", "band", "extension", F.coalesce("n", F.lit(0)).alias("n"), *(F.coalesce(F.get("s", F.lit(k)), F.lit(0).cast("long")).alias(f"s{k}") for k in range(longs)))
-        n, m = F.col("x_n"), F.col("y_n")
-        unlike = sum((F.bit_count(F.col(f"x_s{k}").bitwiseXOR(F.col(f"y_s{k}"))) for k in range(1, longs)), F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))))
-        close = (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - EPS) & (unlike * (1 + least) <= (1 - least) * (n + m) + EPS)
-        pairs = dealt_pairs(rows, rows, ["band", "extension"], True, SKETCHED).where(close)
-        ordered = F.col("x_path") < F.col("y_path")
-        ids = (F.when(ordered, F.col(f"{i}_id")).otherwise(F.col(f"{j}_id")).alias(f"id{k}") for k, (i, j) in enumerate((("x", "y"), ("y", "x")), 1))
-        pairs = pairs.select(*ids, *ends())
-        found = pairs if found is None else found.unionByName(pairs)
-    found = materialise(found, "near-candidates")
-    count = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A number of tasks is given, as comparing texts is more work than their bytes tell.
-    for k, c in ((1, "x"), (2, "y")):
-        found = found.repartition(count, f"id{k}").join(texts.select(F.col("id").alias(f"id{k}"), F.col("text").alias(c)).repartition(count, f"id{k}"), f"id{k}")
-    words = text.jaccard(text.word_hashes(F.col("x")), text.word_hashes(F.col("y")))
-    return found.select("file1", "file2", once(words).alias("words"), "x", "y").where(F.col("words") >= least - EPS)
-
-
-def numbered(files: DataFrame) -> DataFrame:
-    """path, band, extension, text and an id of each row with a text, written."""
-    rows = files.where(F.col("text").isNotNull()).select("path", "band", "extension", "text")
-    return materialise(rows.withColumn("id", F.monotonically_increasing_id()), "near-texts", "zstd")
+#: Rows of a block of sketches, and bytes of them.
+SKETCHED, SKETCH_BYTES = 16384, 1 << 24
+#: Numbers of 64 bits that a sketch of a file's words has, up to bands of so many bytes; in larger bands, as many times more, a power of two, at most. A
+#: sketch tells unlike files apart as long as it has about as many bits as each has words.
+LONGS, BYTES, TIMES = 8, 2400, 128
+#: Texts of a block in which pairs are compared by their words, and bytes of them; pairs that are worked on at a time, and bytes of texts that these hold.
+COMPARED, COMPARED_BYTES, AT_ONCE, HELD = 256, 1 << 23, 4096, 1 << 26
+CELL = ["band", "extension", "i", "j"]
+
+
+def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Of batches sorted by CELL, the rows of each cell, in one piece or more."""
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in CELL), strict=True))
+        start = 0
+        for k in range(1, len(keys) + 1):
+            if k == len(keys) or keys[k] != keys[start]:
+                yield keys[start], batch.slice(start, k - start)
+                start = k
+
+
+def into_cells(rows: DataFrame, *then: str) -> DataFrame:
+    """rows in tasks that have whole cells. A number of tasks is given, as comparing is more work than bytes tell."""
+    count = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, *CELL).sortWithinPartitions(*CELL, *then)
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """id, path, band, extension, longs, n, s: how many words each text has, and numbers of 64 bits, so many (longs), of which each word flips one bit."""
+    ratio = F.log2(F.greatest(F.col("band"), F.lit(1)) / BYTES)
+    longs = LONGS * F.pow(F.lit(2), F.ceil(F.greatest(F.lit(0.0), F.least(F.lit(math.log2(TIMES)), ratio)))).cast("int")
+    rows = texts.select("id", "path", "band", "extension", longs.alias("longs"), F.col("text").cast("binary").alias("text"))
+
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, longs, column = batch.drop_columns(["text"]), batch.column("longs").to_numpy(), batch.column("text").cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            n, flips = sketch.sketches(data, offsets - offsets[0], longs)
+            ends = np.append(0, np.cumsum(8 * longs)).astype(np.int32)
+            s = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flips)])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int32()), s], [*kept.schema.names, "n", "s"])
+
+    return rows.mapInArrow(made, "id bigint, path string, band bigint, extension string, longs int, n int, s binary")
+
+
+def sketch_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """file1, file2, id1, id2, band, extension: pairs of a block that the sketches leave. A block's rows are dealt out by the hash of their path, and
+    each two parts are held against each other in a cell, all numbers at once."""
+    size = F.least(F.lit(SKETCHED), F.floor(F.lit(SKETCH_BYTES) / (8 * F.max("longs"))))
+    parts = rows.groupBy("band", "extension").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    rows = rows.join(parts, ["band", "extension"]).withColumn("p", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = into_cells(rows.select("band", "extension", F.greatest("p", "q").alias("i"), F.least("p", "q").alias("j"), "p", "id", "path", "n", "s"))
+
+    def pairs(key: tuple, pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(pieces).combine_chunks()
+        band, extension, i, j = key
+        p, n = table["p"].to_numpy(), table["n"].to_numpy()
+        x, ids, paths = np.frombuffer(b"".join(table["s"].to_pylist()), np.uint64).reshape(len(p), -1), table["id"].to_numpy(), table["path"].combine_chunks()
+        first, second = np.flatnonzero(p == i), np.flatnonzero(p == j)
+        for a, b in sketch.close_pairs(x[first], n[first], x[second], n[second], least, i == j):
+            a, b = first[a], second[b]
+            file1, file2 = paths.take(pa.array(a)), paths.take(pa.array(b))
+            below, above = (f(file1, file2).to_numpy(zero_copy_only=False) for f in (pc.less, pc.greater))
+            a, b = np.concatenate([a[below], b[above]]), np.concatenate([b[below], a[above]])
+            ends = [paths.take(pa.array(a)), paths.take(pa.array(b)), pa.array(ids[a]), pa.array(ids[b])]
+            yield pa.RecordBatch.from_arrays([*ends, pa.repeat(pa.scalar(band, pa.int64()), len(a)), pa.repeat(pa.scalar(extension), len(a))], ["file1", "file2", "id1", "id2", "band", "extension"])
+
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pieces = None, []
+        for key, piece in cells(batches):
+            if key != last and pieces:
+                yield from pairs(last, pieces)
+                pieces = []
+            last = key
+            pieces.append(piece)
+        if pieces:
+            yield from pairs(last, pieces)
+
+    return rows.mapInArrow(made, "file1 string, file2 string, id1 bigint, id2 bigint, band bigint, extension string")
+
+
+def alike_texts(texts: DataFrame, least: float, threshold: float | None = None) -> DataFrame:
+    """file1, file2, value: pairs of texts (id, path, band, extension, text) of a block (band, extension) whose word sets have the
+    Jaccard similarity least at least, which is the value. Given a threshold, the value is the combined similarity of the normalised texts, of pairs that reach
+    it. All pairs of a block are held against each other by sketches: bits that differ are words that aren't shared, at
+    least. What that leaves is decided on the words, then by edit distances, in cells of texts: a text is sent to a cell once, however many pairs it has there."""
+    known = F.col("text").isNotNull() & F.col("path").isNotNull() & F.col("band").isNotNull() & F.col("extension").isNotNull()
+    texts = texts.where(known)
+    found = materialise(sketch_pairs(materialise(sketched(texts), "near-sketches"), least), "near-candidates")
+    ends = found.select("band", "extension", F.explode(F.array("id1", "id2")).alias("id")).distinct()
+    parts = ends.groupBy("band", "extension").agg(F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.least(F.lit(COMPARED), F.floor(F.lit(COMPARED_BYTES) / F.greatest(F.col("band"), F.lit(1)))))).alias("parts"))
+    g, h = (F.pmod(F.xxhash64(c), F.col("parts")).cast("int") for c in ("id1", "id2"))
+    pairs = found.join(parts, ["band", "extension"]).select("band", "extension", F.least(g, h).alias("i"), F.greatest(g, h).alias("j"), "id1", "id2", "file1", "file2")
+    body = F.col("text") if threshold is None else text.normalise(F.col("text"))
+    docs = texts.join(ends.select("id").distinct(), "id", "left_semi").select("id", body.cast("binary").alias("text"))
+    docs = pairs.select(*CELL, F.explode(F.array("id1", "id2")).alias("id")).distinct().join(docs, "id")
+    docs = docs.select(*CELL, F.lit(0).alias("kind"), F.col("id").alias("id1"), F.lit(None).cast("bigint").alias("id2"), *(F.lit(None).cast("string").alias(f"file{k}") for k in (1, 2)), "text")
+    rows = docs.unionByName(pairs.withColumns({"kind": F.lit(1), "text": F.lit(None).cast("binary")}))
+
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, docs, waiting, held = None, {}, [], 0
+        for key, piece in cells(batches):
+            if key != last:
+                last, docs = key, {}
+            for kind, id1, id2, file1, file2, body in zip(*(piece.column(c).to_pylist() for c in ("kind", "id1", "id2", "file1", "file2", "text")), strict=True):
+                if kind == 0:
+                    docs[id1] = sketch.Text(body)
+                    held += len(body)
+                else:
+                    waiting.append((file1, file2, docs[id1], docs[id2]))
+                if len(waiting) >= AT_ONCE or (held >= HELD and waiting):
+                    yield pa.RecordBatch.from_arrays(*sketch.valued(waiting, least - EPS, threshold, EPS))
+                    waiting, held = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_arrays(*sketch.valued(waiting, least - EPS, threshold, EPS))
+
+    return into_cells(rows, "kind").mapInArrow(made, "file1 string, file2 string, value double")
 
 
 def least_words(threshold: float) -> float:
@@ -142,30 +214,28 @@ def least_words(threshold: float) -> float:
     return (threshold - text.ALPHA) / text.BETA
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """files (path, extension, text and others) with an id of each row, written."""
+    return materialise(files.withColumn("id", F.monotonically_increasing_id()), "near-texts", "zstd")
+
+
 def text_candidates(files: DataFrame, threshold: float) -> DataFrame:
     """file1, file2, words: pairs of a block (band, extension) whose word sets' Jaccard similarity, words, may reach
-    the threshold. Words are told apart by 64-bit hashes. Files without words match among themselves alone (words 1). With a threshold of 0.6 or less all pairs of a block are given."""
-    return alike_words(numbered(files), least_words(threshold)).select("file1", "file2", "words")
+    the threshold. Files without words match among themselves alone (words 1). With a threshold of 0.6 or less all pairs of a block are given."""
+    rows = numbered(files.select("path", "band", "extension", "text"))
+    return alike_texts(rows, least_words(threshold)).withColumnRenamed("value", "words")
 
 
 def text_pairs(files: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
     """file1, file2, similarity, algorithm of the pairs of text files (path, size, extension, text) whose similarity is the
     threshold or more. Files are in the same size band and have the same extension. What the words
-    leave open bounds the difference of the lengths. Edit distances are of few pairs, but a pair costs the product of
-    its lengths: Python's long integers do 64 steps at a time, which Spark's function, at seconds for a pair of 20,000 letters, doesn't."""
+    leave open bounds the difference of the lengths and the edit distance. White space doesn't change the words, so only texts of pairs that the
+    sketches leave are normalised."""
     t = options.threshold
     files = files.where(F.col("extension").isin(*options.text_extensions) & (F.col("size") <= options.max_text_bytes))
-    files = with_bands(files, TEXT_TOLERANCE).withColumn("text", text.normalise(F.col("text")))
-    both = alike_words(numbered(files), least_words(t))
-    n, m = F.length("x"), F.length("y")
-    longest = F.greatest(n, m)
-    room = F.floor(longest * (1 - (F.lit(t) - text.BETA * F.col("words")) / text.ALPHA) + EPS)
-    both = both.where((F.abs(n - m) <= room) | (longest == 0))
-    # Written, so that no filter after it makes Python work out a distance twice.
-    both = both.select("file1", "file2", "words", n.alias("n"), m.alias("m"), text.edit_distance("x", "y", room).alias("distance"))
-    both = materialise(both, "near-distances").where("distance IS NOT NULL")
-    similar = text.combined(text.edit_similarity(F.col("distance"), F.col("n"), F.col("m")), F.col("words"))
-    return both.select("file1", "file2", similar.alias("similarity"), F.lit("combined").alias("algorithm")).where(F.col("similarity") >= t - EPS)
+    # Written before the bands, which take the sizes twice.
+    rows = with_bands(numbered(files.select("path", "size", "extension", "text")), TEXT_TOLERANCE)
+    return alike_texts(rows, least_words(t), t).select("file1", "file2", F.col("value").alias("similarity"), F.lit("combined").alias("algorithm"))
 
 
 def image_pairs(images: DataFrame, threshold: float = 0.85) -> DataFrame:

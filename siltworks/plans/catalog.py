@@ -282,7 +282,7 @@ REACH = f"""{NEAR}, edges AS (SELECT file1 AS a, file2 AS b FROM pairs UNION SEL
 def document_pairs(spark, sf_dir):
     """As in a run: without the members of exact groups; the extensions are those that the table has."""
     left = exact.without_duplicates(corpus.documents_as_files(spark, sf_dir, True).withColumn("content_hash", F.sha2("text", 256)))
-    extensions = tuple(r.extension for r in left.select("extension").distinct().collect() if r.extension)
+    extensions = tuple(r.extension for r in documents(spark, sf_dir).select("extension").distinct().collect() if r.extension)
     return near.text_pairs(left, NearOptions(text_extensions=extensions))
 
 

@@ -1,7 +1,10 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.functions import audio, bits, color, paths, text
+from siltworks.functions import audio, bits, color, paths, sketch, text
 
 
 def one(spark, *columns):
@@ -111,3 +114,30 @@ def test_distance_in_bands_is_that_of_the_whole_table():
         b = "".join(b)
         want, room = plain(a, b), rng.randint(0, 60)
         assert distance(a, b) == distance(b, a) == want and distance(a, b, room) == (want if want <= room else None)
+
+
+def test_distances_of_many_pairs(monkeypatch):
+    """Pairs worked on together have the distances that they have one by one, with any room; a letter beyond those of the other text too."""
+    monkeypatch.setattr(sketch, "FEW", 1)
+    rng, pairs = random.Random(7), []
+    for k in range(240):
+        letters = ("ab", "abcdefgh é日")[k % 2]
+        a = [rng.choice(letters) for _ in range(rng.choice((0, 5, 70, 200, 500)))]
+        b = list(a) if k % 3 else [rng.choice(letters) for _ in range(rng.randint(0, 300))]
+        for _ in range(rng.randint(0, 1 + len(b) // 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "ba"])
+        pairs.append(("".join(a), "".join(b)))
+    for room in (0, 3, 60, 1000):
+        assert sketch.distances([(a, b, room) for a, b in pairs]) == [text.distance(a, b, room) for a, b in pairs]
+
+
+def test_sketches_have_each_word_of_a_text_once(monkeypatch):
+    monkeypatch.setattr(sketch, "CHUNK", 64)
+    texts = ["", "a b a", "é", "b", "word1 word_2 " * 30, "a" * 100, "b a"]
+    body = [t.encode() for t in texts]
+    offsets = np.append(0, np.cumsum([len(b) for b in body]))
+    n, flips = sketch.sketches(np.frombuffer(b"".join(body), np.uint8), offsets, np.full(len(body), 8))
+    rows = flips.view(np.uint64).reshape(len(body), 8)
+    assert n.tolist() == [len(sketch.Text(b).words) for b in body] == [0, 2, 0, 1, 2, 1, 2]
+    assert np.bitwise_count(rows).sum(1).tolist() == n.tolist() and (rows[1] == rows[6]).all() and not (rows[3] == rows[5]).all()

@@ -140,6 +140,29 @@ def test_few_text_pairs_are_compared_by_words(spark, monkeypatch):
     assert got == want and len(want) > 45 and made["near-candidates"].count() < 1.2 * len(want)
 
 
+def test_near_copies_in_many_cells(spark, monkeypatch):
+    """A large group of near copies is compared in cells: all pairs are found with their values, and a text is sent to a cell once, not once for each of its pairs."""
+    for name, value in (("SKETCHED", 40), ("COMPARED", 30), ("AT_ONCE", 100)):
+        monkeypatch.setattr(near, name, value)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6):06d}" for _ in range(60)]
+    rows = [(f"/{i:03d}.txt", "  ".join(w if rng.random() > 0.06 else f"x{rng.randrange(10**6):06d}" for w in base)) for i in range(120)]
+    d = spark.createDataFrame(rows, "path string, text string").withColumn("size", F.octet_length("text").cast("bigint")).withColumn("extension", F.lit(".txt"))
+    sent, keep = [], near.into_cells
+    monkeypatch.setattr(near, "into_cells", lambda rows, *then: sent.append(rows) or keep(rows, *then))
+    got = {(r.file1, r.file2): round(r.similarity, 9) for r in near.text_pairs(d).collect()}
+    bodies = [(p, " ".join(t.split())) for p, t in rows]
+    want = {}
+    for k, (p, x) in enumerate(bodies):
+        for q, y in bodies[k + 1 :]:
+            v, w = set(x.split()), set(y.split())
+            s = 0.6 * (1 - text.distance(x, y) / max(len(x), len(y))) + 0.4 * len(v & w) / len(v | w)
+            if s >= 0.85 - 1e-9:
+                want[p, q] = round(s, 9)
+    assert got == want and len(want) > 3000
+    assert sent[-1].where("kind = 0").count() <= 4 * 120 < sent[-1].where("kind = 1").count()
+
+
 def test_near_groups(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.86), ("x", "y", 1.0)], "file1 string, file2 string, similarity double")
     members = near.near_members(pairs, "text")
