@@ -192,18 +192,19 @@ def banded_batch(batch: list, wide: int) -> list[tuple[int, int]]:
     lo = 64 * wide - 1 - hi
     words = int(columns[0]) // 64 + wide + 2
     a, b = (np.frombuffer("".join(x[k] for x in batch).encode("utf-32-le", "surrogatepass"), np.uint32) for k in (1, 2))
-    known, a = np.unique(a, return_inverse=True)
-    at = np.searchsorted(known, b)
-    b = np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == b), at, len(known))
-    signs = len(known) + 1
+    numbers = np.zeros(max(int(a.max()), int(b.max())) + 1, np.int64)
+    numbers[a] = 1
+    signs = int(numbers.sum()) + 1
+    numbers = np.where(numbers == 1, np.cumsum(numbers) - 1, signs - 1)
+    a, b = numbers[a], numbers[b]
     # Of each pair and sign, the rows of a that have it, moved so that in column c the band begins at bit c.
     table = np.zeros((words, count * signs), np.uint64)
     pair = np.repeat(np.arange(count), rows)
     bit = np.arange(len(a)) - np.repeat(np.cumsum(rows) - rows, rows) + lo[pair]
-    np.add.at(table.reshape(-1), (bit >> 6) * (count * signs) + pair * signs + a, one << (bit & 63).astype(np.uint64))
+    np.add.at(table.reshape(-1), (bit >> 6) * (count * signs) + a * count + pair, one << (bit & 63).astype(np.uint64))
     pair = np.repeat(np.arange(count), columns)
     begins = np.zeros((int(columns[0]), count), np.int64)
-    begins[np.arange(len(b)) - np.repeat(np.cumsum(columns) - columns, columns), pair] = pair * signs + b
+    begins[np.arange(len(b)) - np.repeat(np.cumsum(columns) - columns, columns), pair] = b * count + pair
     first = np.arange(wide)[:, None] * 64
     up = np.where(first >= lo, ~np.uint64(0), np.where(first + 64 <= lo, np.uint64(0), ~np.uint64(0) << np.clip(lo - first, 0, 63).astype(np.uint64)))
     down = np.zeros_like(up)
@@ -211,10 +212,11 @@ def banded_batch(batch: list, wide: int) -> list[tuple[int, int]]:
     where, shift = (end >> 6) * count + np.arange(count), (end & 63).astype(np.uint64)
     score = np.zeros(count, np.uint64)
     active = np.searchsorted(-columns, -np.arange(int(columns[0])), "left").tolist()
-    rows_of, carries = np.empty((wide + 1, count), np.uint64), np.zeros((max(wide - 1, 1), count), bool)
+    rows_of, carries = np.empty((wide + 1, count), np.uint64), np.zeros((wide - 1, count), bool)
+    carried = np.zeros((wide - 1, count), np.uint64)
     same, sums, other, diagonal = (np.empty_like(up) for _ in range(4))
     low, high, s1, g0, g1, o0 = rows_of[:-1], rows_of[1:], sums[1:], diagonal[:-1], diagonal[1:], other[:-1]
-    flat, top, zero = diagonal.reshape(-1), np.uint64(63), np.uint64(0)
+    flat, top = diagonal.reshape(-1), np.uint64(63)
     for c in range(int(columns[0])):
         table[c >> 6 : (c >> 6) + wide + 1].take(begins[c], 1, rows_of, "clip")
         r = c & 63
@@ -224,18 +226,21 @@ def banded_batch(batch: list, wide: int) -> list[tuple[int, int]]:
             np.bitwise_or(same, other, same)
         else:
             same[:] = low
-        np.bitwise_and(same, up, sums)
-        np.add(sums, up, sums)
+        np.bitwise_and(same, up, other)
+        np.add(other, up, sums)
         if wide > 1:
-            # As no number is above the sum, a sum below it has carried. A carry seldom goes on beyond the next number.
-            np.less(sums[:-1], up[:-1], carries)
-            np.add(s1, carries, s1)
-            carries &= s1 == zero
+            # A number carries if its highest bit is set in both, or in up and not in the sum. A carry seldom goes on beyond the next number.
+            np.invert(sums, diagonal)
+            np.bitwise_and(diagonal, up, diagonal)
+            np.bitwise_or(diagonal, other, diagonal)
+            np.right_shift(g0, top, carried)
+            np.add(s1, carried, s1)
+            np.less(s1, carried, carries)
             while carries.any():
-                carries[1:] = carries[:-1]
-                carries[0] = False
-                np.add(s1, carries, s1)
-                carries &= s1 == zero
+                carried[:] = 0
+                carried[1:] = carries[:-1]
+                np.add(s1, carried, s1)
+                np.less(s1, carried, carries)
         np.bitwise_xor(sums, up, diagonal)
         np.bitwise_or(diagonal, same, diagonal)
         np.bitwise_or(diagonal, down, diagonal)

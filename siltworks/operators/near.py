@@ -94,7 +94,7 @@ SKETCHED, SKETCH_BYTES = 16384, 1 << 24
 #: sketch tells unlike files apart as long as it has about as many bits as each has words.
 LONGS, BYTES, TIMES = 8, 2400, 128
 #: Texts of a block in which pairs are compared by their words, and bytes of them; pairs that are worked on at a time, and bytes of texts that these hold.
-COMPARED, COMPARED_BYTES, AT_ONCE, HELD = 256, 1 << 23, 4096, 1 << 26
+COMPARED, COMPARED_BYTES, AT_ONCE, HELD = 128, 1 << 23, 4096, 1 << 26
 CELL = ["band", "extension", "i", "j"]
 
 
